@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from driftgate.model import OWNER_ROLE, TOOLING_ROLE
 
 # The characters that count as blank, and the breaks that end a line.
-BLANKS = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0          "
-    "      　"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" + "".join(
+    map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\u0085  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 
 # Fixed value: statements that write, with the verb and the destination as groups. Reads are left out.
 # The flags are "any case" and "Unicode word and blank characters".

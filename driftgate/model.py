@@ -37,30 +37,31 @@ DESTRUCTIVE = "DESTRUCTIVE"
 ORPHAN = "ORPHAN"
 NOTICE = "NOTICE"
 
-PIPELINES_SCHEMA = T.StructType.fromDDL(
+# Input tables, as Spark DDL for readers.
+PIPELINES_SCHEMA = (
     "repo BIGINT, rev STRING, key STRING, catalog_ref STRING, schema_ref STRING, files ARRAY<STRING>"
 )
-PIPELINE_FILES_SCHEMA = T.StructType.fromDDL(
+PIPELINE_FILES_SCHEMA = (
     "repo BIGINT, rev STRING, key STRING, catalog_ref STRING, schema_ref STRING, path STRING"
 )
-CALLS_SCHEMA = T.StructType.fromDDL(
+CALLS_SCHEMA = (
     "repo BIGINT, rev STRING, path STRING, line BIGINT, receiver STRING, method STRING, "
     "arg_source STRING, name_literal STRING, is_dynamic BOOLEAN"
 )
-RESOURCES_SCHEMA = T.StructType.fromDDL(
+RESOURCES_SCHEMA = (
     "repo BIGINT, rev STRING, kind STRING, key STRING, file_order BIGINT, "
     "catalog STRING, schema STRING, target STRING, storage STRING, serverless STRING"
 )
-NAMED_SCHEMA = T.StructType.fromDDL("repo BIGINT, rev STRING, name STRING")
-RETIRED_SCHEMA = T.StructType.fromDDL("repo BIGINT, name STRING, reason STRING")
-SCHEMA_CONFIG_SCHEMA = T.StructType.fromDDL("repo BIGINT, literal ARRAY<STRING>, provided ARRAY<STRING>")
-ALLOWED_SCHEMA = T.StructType.fromDDL("repo BIGINT, schema_name STRING")
-LABELS_SCHEMA = T.StructType.fromDDL("repo BIGINT, labels_csv STRING")
-STATEMENTS_SCHEMA = T.StructType.fromDDL(
+NAMED_SCHEMA = "repo BIGINT, rev STRING, name STRING"
+RETIRED_SCHEMA = "repo BIGINT, name STRING, reason STRING"
+SCHEMA_CONFIG_SCHEMA = "repo BIGINT, literal ARRAY<STRING>, provided ARRAY<STRING>"
+ALLOWED_SCHEMA = "repo BIGINT, schema_name STRING"
+LABELS_SCHEMA = "repo BIGINT, labels_csv STRING"
+STATEMENTS_SCHEMA = (
     "repo BIGINT, path STRING, line BIGINT, sql STRING, dynamic BOOLEAN"
 )
-TEXTS_SCHEMA = T.StructType.fromDDL("repo BIGINT, path STRING, text STRING")
-ORG_CONFIG_SCHEMA = T.StructType.fromDDL(
+TEXTS_SCHEMA = "repo BIGINT, path STRING, text STRING"
+ORG_CONFIG_SCHEMA = (
     "repo BIGINT, owner_org STRING, tooling_org STRING, tooling_repo STRING"
 )
 FINDING_COLUMNS = ("repo", "severity", "kind", "item", "detail", "remedy")
