@@ -229,7 +229,7 @@ class Views:
         return self.repos.select(
             "repo",
             F.when(case != 0, "tionsh").alias("owner_org"),
-            F.when(case.isin(1, 2), "theand").alias("tooling_org"),
+            F.when(case.isin(1, 2), "thther").alias("tooling_org"),
             F.when(case == 2, "com").alias("tooling_repo"),
         )
 
@@ -243,7 +243,7 @@ class Views:
             F.lit("jobs:\n\n  check:\n    uses: "), owner, F.lit("/"), repo,
             F.lit("/.github/workflows/ci.yml@v1\n  steps:\n    - uses: actions/checkout@v4\ndev = [\"x @ git+https://github.com/"),
             owner, F.lit("/"), repo, F.lit("@v1\"]\n* @"), owner, F.lit("/data @"), owner,
-            F.lit("/ops\n\n  github_org = \""), owner, F.lit("\"\ntooling_org = \"theand\"\n# "),
+            F.lit("/ops\n\n  github_org = \""), owner, F.lit("\"\ntooling_org = \"thther\"\n# "),
             F.regexp_replace("html", r"[\n@]", " "), F.lit("\n"),
         )
         return self.table("pages").select(

@@ -47,7 +47,8 @@ def label_set(labels: DataFrame) -> DataFrame:
     """Distinct labels of each repository from a comma list; blanks do not count."""
     require(labels, "repo", "labels_csv")
     return (
-        labels.select("repo", strip(F.explode(F.split("labels_csv", ","))).alias("label"))
+        labels.select("repo", F.explode(F.split("labels_csv", ",")).alias("entry"))
+        .select("repo", strip(F.col("entry")).alias("label"))
         .filter(F.col("label") != "")
         .distinct()
     )

@@ -11,9 +11,9 @@ from driftgate.model import BASE, HEAD, require
 
 def inventory_names(texts: DataFrame, text: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """Distinct names in inventory texts; blank lines and `#` comments are not names."""
-    line = strip(F.explode(F.split(F.col(text), LINE_BREAK)))
     return (
-        texts.select(*keys, line.alias("name"))
+        texts.select(*keys, F.explode(F.split(F.col(text), LINE_BREAK)).alias("line"))
+        .select(*keys, strip(F.col("line")).alias("name"))
         .filter((F.col("name") != "") & ~F.col("name").startswith("#"))
         .distinct()
     )
