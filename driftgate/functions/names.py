@@ -11,6 +11,9 @@ from driftgate.functions.text import strip
 # ${...} inside SQL text.
 VARIABLE = r"(?s)^\$\{(?:var\.)?(.*)\}$"
 
+# Skips the first part if two more follow, takes the next one, and needs one after it. No braces anywhere.
+DESTINATION_SCHEMA = r"^\.*(?:[^.{}]+\.+(?=[^.{}]+\.+[^.{}]))?([^.{}]+)\.+[^.{}][^{}]*$"
+
 
 def normalise_ref(ref: Column, default: str, present: Column | None = None) -> Column:
     """`${var.x}` and `${x}` become `{x}`; a literal is trimmed; a missing key becomes `default`.
@@ -30,13 +33,13 @@ def qualify_name(catalog: Column, schema: Column, table: Column) -> Column:
 
 def name_parts(name: Column) -> Column:
     """How many dot-separated parts a name has."""
-    return F.size(F.split(name, r"\.")).cast("bigint")
+    return (F.length(name) - F.length(F.replace(name, F.lit("."))) + 1).cast("bigint")
 
 
 def schema_of_name(name: Column) -> Column:
     """The middle part of a three-part name, null for any other shape."""
-    parts = F.split(name, r"\.")
-    return F.when(F.size(parts) == 3, F.get(parts, F.lit(1)))
+    first_two = F.substring_index(name, ".", 2)
+    return F.when(name_parts(name) == 3, F.substring_index(first_two, ".", -1))
 
 
 def clean_destination(destination: Column) -> Column:
@@ -52,12 +55,8 @@ def is_interpolated(destination: Column) -> Column:
 def schema_of_destination(destination: Column) -> Column:
     """Schema a write goes to: the first of two parts, the second of three or more.
 
-    Null if the name is unqualified or interpolated. Empty parts do not count.
+    Null if the name is unqualified or interpolated. Empty parts do not count. One expression, because a
+    filter on the result would evaluate every use of the destination again.
     """
-    cleaned = clean_destination(destination)
-    parts = F.filter(F.split(cleaned, r"\."), lambda part: part != "")
-    return (
-        F.when(is_interpolated(cleaned), F.lit(None))
-        .when(F.size(parts) == 2, F.get(parts, F.lit(0)))
-        .when(F.size(parts) >= 3, F.get(parts, F.lit(1)))
-    )
+    schema = F.regexp_extract(clean_destination(destination), DESTINATION_SCHEMA, 1)
+    return F.nullif(schema, F.lit(""))

@@ -17,8 +17,8 @@ from driftgate.functions.text import (
 )
 from driftgate.model import OWNER_ROLE, TOOLING_ROLE, require
 
-# Control characters that mark a hit inside a text. Real ones are blanked before.
-OPEN, MIDDLE, CLOSE, BLANKED = "\x01", "\x02", "\x03", "\x04"
+# Control characters that mark a hit inside a text. The opening one is replaced where a text has it.
+OPEN, MIDDLE, CLOSE, OTHER = "\x01", "\x02", "\x03", "\x04"
 MARK = f"{OPEN}([^{MIDDLE}]*){MIDDLE}([^{CLOSE}]*){CLOSE}"
 
 
@@ -43,7 +43,7 @@ def reference_extract(
     splitting the marked text gives the line.
     """
     others = [c for c in require(texts, "text").columns if c != "text"]
-    text = F.translate("text", OPEN + MIDDLE + CLOSE, BLANKED * 3)
+    cleaned = texts.withColumn("text", F.replace("text", F.lit(OPEN), F.lit(OTHER)))
     marked = F.array_compact(
         F.array(*[
             F.when(
@@ -53,7 +53,7 @@ def reference_extract(
                     F.lit(p.role).alias("role"),
                     F.lit(bool(p.repo)).alias("names_repo"),
                     F.regexp_replace(
-                        text, F.lit(p.expression), F.lit(f"$1{OPEN}$2{MIDDLE}$3{CLOSE}")
+                        "text", F.lit(p.expression), F.lit(f"$1{OPEN}$2{MIDDLE}$3{CLOSE}")
                     ).alias("marked"),
                 ),
             )
@@ -61,7 +61,7 @@ def reference_extract(
         ])
     )
     lines = (
-        texts.select(*others, F.inline(marked))
+        cleaned.select(*others, F.inline(marked))
         .filter(F.col("marked").contains(OPEN))
         .select(
             *others, "kind", "role", "names_repo",
