@@ -294,6 +294,9 @@ ORACLE = {
         WHERE verb <> 'saveAsTable' AND schema_name IS NOT NULL AND NOT EXISTS
           (SELECT 1 FROM allowed a WHERE a.repo = w.repo AND a.schema_name = w.schema_name)""",
     "statement_unresolved": "SELECT event_id, verb, dest FROM write WHERE dest LIKE '%{%' OR dest LIKE '%}%'",
+    "loaded_statements": r"""
+        SELECT event_id, user_id % 7 AS repo, event_id % 2000 AS path FROM events
+        WHERE (user_id % 7, event_id % 2000) IN (SELECT (l_suppkey, l_partkey) FROM lineitem)""",
     "writer_calls": "SELECT event_id, repo, verb, dest, dynamic FROM saved",
     "code_violations": r"""
         SELECT event_id, repo, verb, dest, dynamic, schema_name FROM coded_schema w
@@ -309,6 +312,13 @@ ORACLE = {
     "reference_drift": "SELECT page_id, role, org, expected FROM governed WHERE org <> expected",
     "reference_counts": "SELECT role, count(*) AS n FROM governed GROUP BY role",
     "reference_lines": "SELECT page_id, line, role, kind, org, target_repo FROM found",
+    "governed_files": r"""
+        SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'docs/CODEOWNERS'
+                             ELSE '.github/workflows/' || page_id || '.yaml' END AS path
+        FROM pages WHERE page_id % 6 IN (0, 1, 3)""",
+    "read_org_config": rf"""
+        SELECT page_id, page_id % 10 AS repo, coalesce(nullif(regexp_extract(url, '{HOST}', 2), ''), 'nobody') AS owner_org,
+               'thther' AS tooling_org, CAST(NULL AS VARCHAR) AS tooling_repo FROM pages""",
     "reference_rewrite": r"""
         SELECT page_id, regexp_replace(url, '^(https?://(?:[a-z]+\.)?)tionsh(\.example\.)', '\1neworg\2') AS url
         FROM pages""",

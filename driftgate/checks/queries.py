@@ -247,6 +247,10 @@ def statement_unresolved(v: Views) -> DataFrame:
     return audit.statement_unresolved(writes(v)).select("event_id", "verb", "dest")
 
 
+def loaded_statements(v: Views) -> DataFrame:
+    return audit.in_loaded_files(v.filed_statements, v.files).select("event_id", "repo", "path")
+
+
 def writer_calls(v: Views) -> DataFrame:
     return audit.writer_calls(v.event_calls).select("event_id", "repo", "verb", "dest", "dynamic")
 
@@ -279,6 +283,14 @@ def reference_lines(v: Views) -> DataFrame:
     return refs.reference_extract(v.config_texts).drop("repo")
 
 
+def governed_files(v: Views) -> DataFrame:
+    return refs.governed_files(v.filed_texts).select("page_id", "path")
+
+
+def read_org_config(v: Views) -> DataFrame:
+    return refs.read_org_config(v.config_texts)
+
+
 def reference_rewrite(v: Views) -> DataFrame:
     moves = refs.plan_moves(v.org_config, owner="neworg")
     new = refs.reference_rewrite(v.urls, moves, v.org_config, TOOLING_REPO, URL_OWNERS)
@@ -378,6 +390,7 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "document_writes": document_writes,
     "statement_violations": statement_violations,
     "statement_unresolved": statement_unresolved,
+    "loaded_statements": loaded_statements,
     "writer_calls": writer_calls,
     "code_violations": code_violations,
     "code_unresolved": code_unresolved,
@@ -386,6 +399,8 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "reference_drift": reference_drift,
     "reference_counts": reference_counts,
     "reference_lines": reference_lines,
+    "governed_files": governed_files,
+    "read_org_config": read_org_config,
     "reference_rewrite": reference_rewrite,
     "plan_moves": plan_moves,
     "plan_moves_split": plan_moves_split,

@@ -186,6 +186,11 @@ class Views:
             "event_id", (F.col("user_id") % 7).alias("repo"), sql.alias("sql")
         )
 
+    @cached_property
+    def filed_statements(self) -> DataFrame:
+        """The statements with the file they stand in."""
+        return self.statements.withColumn("path", F.col("event_id") % 2000)
+
     @cached_property
     def event_calls(self) -> DataFrame:
         """Events as calls found in code: three ways to declare a table, one to save, one to read."""
@@ -249,3 +254,15 @@ class Views:
         return self.table("pages").select(
             "page_id", (F.col("page_id") % 10).alias("repo"), text.alias("text")
         )
+
+    @cached_property
+    def filed_texts(self) -> DataFrame:
+        """The settings texts under paths that are governed and paths that are not."""
+        case, number = F.col("page_id") % 6, F.col("page_id").cast("string")
+        path = (
+            F.when(case == 0, "pyproject.toml").when(case == 1, "docs/CODEOWNERS").when(case == 2, "docs/history.md")
+            .when(case == 3, F.concat(F.lit(".github/workflows/"), number, F.lit(".yaml")))
+            .when(case == 4, F.concat(F.lit(".github/workflows/old/"), number, F.lit(".yml")))
+            .otherwise(F.concat(F.lit("src/"), number, F.lit(".py")))
+        )
+        return self.config_texts.withColumn("path", path)

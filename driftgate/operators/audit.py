@@ -13,6 +13,8 @@ from driftgate.functions.names import (
 )
 from driftgate.functions.text import WRITE_STATEMENT
 from driftgate.model import WRITER_METHODS, require, require_string_lists
+from driftgate.operators.inventory import distinct_files
+from driftgate.operators.joins import sized
 
 MATERIALIZED = "materialize"
 RETIRED = "retire"
@@ -56,11 +58,10 @@ def malformed_names(declared: DataFrame) -> DataFrame:
 def outside(df: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows whose (repo, schema_name) is not allowed. The comparison is exact.
 
-    No hint: the allowed pairs are broadcast if they are measured to be small. If not, the anti join sorts
-    both sides, and adaptive execution splits the partitions of a repository that has too many rows.
+    The rows with an unknown schema must be gone by now, so no null key piles up in one partition.
     """
-    pairs = require(allowed, "repo", "schema_name").select("repo", "schema_name").distinct()
-    return df.join(pairs, ["repo", "schema_name"], "left_anti")
+    pairs = require(allowed, "repo", "schema_name").select("repo", "schema_name")
+    return df.join(sized(pairs), ["repo", "schema_name"], "left_anti")
 
 
 def outside_schema(declared: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -73,6 +74,12 @@ def outside_schema(declared: DataFrame, allowed: DataFrame) -> DataFrame:
     return outside(known, allowed).select("repo", "name", "origin", "schema_name")
 
 
+def in_loaded_files(found: DataFrame, files: DataFrame) -> DataFrame:
+    """The statements or calls in files that some pipeline loads, each once however many load it."""
+    require(found, "repo", "path")
+    return found.join(distinct_files(files), ["repo", "path"], "left_semi")
+
+
 def statement_writes(statements: DataFrame) -> DataFrame:
     """Every write in each SQL text, with its verb in upper case and its destination.
 

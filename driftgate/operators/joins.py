@@ -1,0 +1,19 @@
+"""Joins with a side whose size is checked first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`side` with a broadcast hint if it has at most `rows` rows, else with a sort-merge hint.
+
+    For narrow tables that come from exploding lists. Spark estimates those from the size of the compressed
+    lists, which can be far too low, and it does not take back a broadcast that it has planned. Counting is one
+    small distributed job. Beyond the bound both sides are sorted, and adaptive execution splits the partitions
+    that a hot key makes too large.
+    """
+    return F.broadcast(side) if side.count() <= rows else side.hint("merge")

@@ -21,6 +21,11 @@ from driftgate.model import OWNER_ROLE, TOOLING_ROLE, require
 OPEN, MIDDLE, CLOSE, OTHER = "\x01", "\x02", "\x03", "\x04"
 MARK = f"{OPEN}([^{MIDDLE}]*){MIDDLE}([^{CLOSE}]*){CLOSE}"
 
+# The files that are governed, and a declaration in a settings file.
+GOVERNED_FILES = ("pyproject.toml", "CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS")
+GOVERNED_WORKFLOWS = r"^\.github/workflows/[^/]+\.ya?ml$"
+DECLARATION = LINE_FLAGS + r'^\s*{key}\s*=\s*"([^"]*)"'
+
 
 def line_matches(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """1-based line of each line that matches, and the first group of its first hit."""
@@ -83,6 +88,31 @@ def reference_extract(
     )
 
 
+def governed_files(texts: DataFrame) -> DataFrame:
+    """The files whose references are governed. What other documents say is history and stays."""
+    path = F.col("path")
+    return require(texts, "path").filter(path.isin(*GOVERNED_FILES) | path.rlike(GOVERNED_WORKFLOWS))
+
+
+def read_org_config(settings: DataFrame) -> DataFrame:
+    """The owner declarations in a settings text, null where a key is missing.
+
+    Works on the raw text, as the rewrite does, so that both see the same. The first of repeated keys counts.
+    """
+    others = [c for c in require(settings, "text").columns if c != "text"]
+
+    def declared(key: str) -> Column:
+        pattern = DECLARATION.format(key=key)
+        return F.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1))
+
+    return settings.select(
+        *others,
+        declared("github_org").alias("owner_org"),
+        declared("tooling_org").alias("tooling_org"),
+        declared("tooling_repo").alias("tooling_repo"),
+    )
+
+
 def filled(text: Column) -> Column:
     """`text`, or null if it is empty. An empty declaration counts as none."""
     return F.when(text != "", text)

@@ -15,7 +15,8 @@ def schema_gate(
     """The verdict of every known repository, from the first check that fails.
 
     Names and writes are counted by schema before anything is joined, so the join with the allowed schemas
-    sees one row per repository and schema, however many names fall into it.
+    sees one row per repository and schema, however many names fall into it. The allowed schemas come from
+    lists, whose exploded size Spark cannot foresee, so they are not broadcast.
     """
     declares = declared.select(
         "repo",
@@ -42,7 +43,7 @@ def schema_gate(
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
 
     counts = (
-        tally.join(pairs, ["repo", "schema_name"], "left")
+        tally.join(pairs.hint("merge"), ["repo", "schema_name"], "left")
         .groupBy("repo")
         .agg(
             total(is_name, "n_declared"),

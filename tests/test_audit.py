@@ -141,6 +141,12 @@ def test_own_unqualified_and_read_tables_are_fine(repo):
     assert verdict(repo) == ("ok", 0)
 
 
+def test_only_loaded_files_count_and_only_once(spark):
+    found = spark.createDataFrame([(1, "f.py", "x"), (1, "draft.py", "x"), (2, "f.py", "x")], "repo bigint, path string, sql string")
+    files = spark.createDataFrame([(1, "f.py"), (1, "f.py"), (1, "other.py")], "repo bigint, path string")
+    assert rows(audit.in_loaded_files(found, files)) == [(1, "f.py", "x")]
+
+
 def test_a_dynamic_destination_only_warns(repo):
     repo.dynamic_sql = ["INSERT INTO .tabla VALUES (1)"]
     repo.calls = [("saveAsTable", None)]
