@@ -264,7 +264,7 @@ def code_unresolved(v: Views) -> DataFrame:
 
 
 def line_matches(v: Views) -> DataFrame:
-    return refs.line_matches(v.table("documents"), r"(?i)\b(license)\b")
+    return refs.line_matches(v.table("documents"), r"(?i)\b(license)\b", needle="license")
 
 
 def reference_extract(v: Views) -> DataFrame:

@@ -9,8 +9,10 @@ from driftgate.functions.text import strip
 from driftgate.model import DESTROY_LABEL, DESTRUCTIVE, INACTIVE_LABEL, NOTICE, ORPHAN, require
 from driftgate.operators.ranking import number_rows
 
+CLEAN_SECTION = 0
 SECTIONS = ((1, DESTRUCTIVE), (2, ORPHAN), (3, NOTICE))
 UNLOCK_SECTION = 4
+CLEAN_LINE = "This change deletes no resource and leaves no table inactive."
 
 
 def severity_rollup(findings: DataFrame) -> DataFrame:
@@ -141,33 +143,20 @@ def report_lines(
         F.concat_ws(": ", "item", "detail").alias("line"),
     )
     gate = gate_decision(findings, labels, mode, destroy_label, inactive_label)
-    clean = (
-        repos.select("repo")
-        .join(gate.select("repo"), "repo", "left_anti")
-        .select(
-            "repo",
-            F.lit(0).alias("section"),
-            F.lit("").alias("item"),
-            F.lit("This change deletes no resource and leaves no table inactive.").alias("line"),
-        )
-    )
-    report = body.unionByName(clean)
+
+    def unlock(flag: str, lacks: str, label: str) -> Column:
+        state = F.when(F.col(lacks), ": missing").otherwise(": granted")
+        return F.when(F.col(flag), line(UNLOCK_SECTION, F.lit(label), F.concat(F.lit(f"label {label}"), state)))
+
+    def line(section: int, item: Column, text: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"), text.alias("line"))
+
+    clean = line(CLEAN_SECTION, F.lit(""), F.lit(CLEAN_LINE))
+    added = [F.when(F.col("passes").isNull(), clean)]
     if mode == "pr":
-        wanted = F.array_compact(
-            F.array(
-                F.when(F.col("destructive"), F.struct(
-                    F.lit(destroy_label).alias("item"), F.col("needs_destroy").alias("lacks"))),
-                F.when(F.col("orphaned"), F.struct(
-                    F.lit(inactive_label).alias("item"), F.col("needs_inactive").alias("lacks"))),
-            )
-        )
-        unlock = gate.select("repo", F.inline(wanted)).select(
-            "repo",
-            F.lit(UNLOCK_SECTION).alias("section"),
-            "item",
-            F.concat(
-                F.lit("label "), "item", F.when(F.col("lacks"), ": missing").otherwise(": granted")
-            ).alias("line"),
-        )
-        report = report.unionByName(unlock)
-    return report
+        added.append(unlock("destructive", "needs_destroy", destroy_label))
+        added.append(unlock("orphaned", "needs_inactive", inactive_label))
+    closing = repos.select("repo").join(gate, "repo", "left").select(
+        "repo", F.inline(F.array_compact(F.array(*added)))
+    )
+    return body.unionByName(closing)

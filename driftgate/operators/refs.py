@@ -27,11 +27,17 @@ GOVERNED_WORKFLOWS = r"^\.github/workflows/[^/]+\.ya?ml$"
 DECLARATION = LINE_FLAGS + r'^\s*{key}\s*=\s*"([^"]*)"'
 
 
-def line_matches(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """1-based line of each line that matches, and the first group of its first hit."""
-    lines = require(texts, key, text).select(
-        key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "content")
-    )
+def line_matches(
+    texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", needle: str | None = None
+) -> DataFrame:
+    """1-based line of each line that matches, and the first group of its first hit.
+
+    `needle` is lower-case text that every hit contains in any case. Texts without it are not split.
+    """
+    require(texts, key, text)
+    if needle is not None:
+        texts = texts.filter(F.lower(text).contains(needle))
+    lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "content"))
     return lines.filter(F.col("content").rlike(pattern)).select(
         key,
         (F.col("pos") + 1).cast("bigint").alias("line"),
