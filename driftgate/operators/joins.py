@@ -12,10 +12,11 @@ BROADCAST_ROWS = 1_000_000
 def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`side` with a broadcast hint if it has at most `rows` rows, else with a shuffled-hash hint.
 
-    For narrow tables of keys that come from exploding lists. Spark estimates those from the size of the
-    compressed lists, which can be far too low, and it does not take back a broadcast that it has planned.
-    Counting is one small distributed job. Beyond the bound both sides are shuffled by key. The keys of `side`
-    are spread evenly, so each task holds a small part of them, the other side needs no sort, and adaptive
-    execution splits its partitions that a hot key makes too large.
+    For narrow tables with a row per key, such as settings or allowed pairs. Spark estimates them from the size of
+    their compressed files, which is far too low where a list is exploded, and it does not take back a broadcast
+    that it has planned; where the estimate is too high it sorts the large side for nothing. Counting is one small
+    distributed job. Beyond the bound both sides are shuffled by key. The keys of `side` are spread evenly, so each
+    task holds a small part of them, the other side needs no sort, and adaptive execution splits its partitions
+    that a hot key makes too large.
     """
     return F.broadcast(side) if side.count() <= rows else side.hint("shuffle_hash")

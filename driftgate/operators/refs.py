@@ -16,6 +16,7 @@ from driftgate.functions.text import (
     replacement,
 )
 from driftgate.model import OWNER_ROLE, TOOLING_ROLE, require
+from driftgate.operators.joins import sized
 
 # Control characters that mark a hit inside a text. The opening one is replaced where a text has it.
 OPEN, MIDDLE, CLOSE, OTHER = "\x01", "\x02", "\x03", "\x04"
@@ -141,8 +142,7 @@ def third_party_filter(tooling_repo: Column) -> Column:
 def reference_audit(refs: DataFrame, config: DataFrame, default_tooling_repo: str) -> DataFrame:
     """The governed references, the owner each must name, and whether it names another.
 
-    `config` has one row per repository. It is joined once for filter and check, without a hint: it is
-    broadcast if it is measured to be small, and a repository with too many references is split if not.
+    `config` has one row per repository. It is joined once for filter and check.
     """
     require(config, "repo", "owner_org", "tooling_org", "tooling_repo")
     require(refs, "repo", "role", "org", "target_repo")
@@ -150,7 +150,7 @@ def reference_audit(refs: DataFrame, config: DataFrame, default_tooling_repo: st
     expected = role_expected(F.col("role"), F.col("owner_org"), F.col("tooling_org"))
     repo_name = F.coalesce(filled(F.col("tooling_repo")), F.lit(default_tooling_repo))
     return (
-        refs.join(settings, "repo", "left")
+        refs.join(sized(settings), "repo", "left")
         .filter(third_party_filter(repo_name))
         .select(*refs.columns, expected.alias("expected"))
         .withColumn("drifts", ~F.col("org").eqNullSafe(F.col("expected")))
@@ -251,7 +251,8 @@ def reference_rewrite(
     moves. All texts are kept, so the result can replace the table.
     """
     columns = require(texts, "repo", "text").columns
-    steps = texts.join(moves_by_repo(moves, config, default_tooling_repo), "repo", "left")
+    settings = moves_by_repo(moves, config, default_tooling_repo)
+    steps = texts.join(sized(settings), "repo", "left")
     steps = steps.withColumn("original", F.col("text"))
     for pattern in patterns:
         steps = steps.withColumn("text", rewritten(F.col("text"), pattern))
@@ -266,7 +267,7 @@ def references_moved(
     of = lambda c: F.when(F.col("role") == TOOLING_ROLE, F.col(f"{TOOLING_ROLE}_{c}")).otherwise(
         F.col(f"{OWNER_ROLE}_{c}"))
     return (
-        refs.join(settings, "repo")
+        refs.join(sized(settings), "repo")
         .filter(third_party_filter(F.col("governed_repo")))
         .filter((F.col("org") == of("old_org")) & (of("old_org") != of("new_org")))
         .withColumn("org", of("new_org"))

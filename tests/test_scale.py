@@ -75,7 +75,8 @@ def test_inventory_join_splits_a_hot_file(skewed, plan):
     assert "skew=true" in plan(names)
 
 
-def test_reference_audit_splits_a_hot_repository(skewed, plan):
+def test_reference_audit_splits_a_hot_repository(skewed, plan, monkeypatch):
+    monkeypatch.setattr(refs, "sized", lambda side: sized(side, 10))
     found = numbers(skewed).select(
         hot(F.col("id"), 997).alias("repo"), F.col("id").alias("page"), F.lit("repo").alias("role"),
         F.when(F.col("id") % 2 == 0, "own").otherwise("else").alias("org"), F.lit(None).cast("string").alias("target_repo"))
