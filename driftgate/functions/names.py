@@ -44,7 +44,7 @@ def schema_of_name(name: Column) -> Column:
 
 def clean_destination(destination: Column) -> Column:
     """A write destination without surrounding blanks and backticks."""
-    return F.translate(strip(destination), "`", "")
+    return F.replace(strip(destination), F.lit("`"))
 
 
 def is_interpolated(destination: Column) -> Column:
@@ -52,11 +52,15 @@ def is_interpolated(destination: Column) -> Column:
     return destination.contains("{") | destination.contains("}")
 
 
-def schema_of_destination(destination: Column) -> Column:
-    """Schema a write goes to: the first of two parts, the second of three or more.
+def destination_schema(cleaned: Column) -> Column:
+    """Schema a cleaned destination is in: the first of two parts, the second of three or more.
 
     Null if the name is unqualified or interpolated. Empty parts do not count. One expression, because a
     filter on the result would evaluate every use of the destination again.
     """
-    schema = F.regexp_extract(clean_destination(destination), DESTINATION_SCHEMA, 1)
-    return F.nullif(schema, F.lit(""))
+    return F.nullif(F.regexp_extract(cleaned, DESTINATION_SCHEMA, 1), F.lit(""))
+
+
+def schema_of_destination(destination: Column) -> Column:
+    """Schema a destination is in, as it was written."""
+    return destination_schema(clean_destination(destination))

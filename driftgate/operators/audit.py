@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.names import (
     clean_destination,
+    destination_schema,
     is_interpolated,
-    schema_of_destination,
     schema_of_name,
 )
 from driftgate.functions.text import WRITE_STATEMENT
@@ -83,23 +83,24 @@ def in_loaded_files(found: DataFrame, files: DataFrame) -> DataFrame:
 def statement_writes(statements: DataFrame) -> DataFrame:
     """Every write in each SQL text, with its verb in upper case and its destination.
 
-    A text is searched once; the groups are taken from the short hits. `dynamic`, if the table has it, says
-    that the text was built around values known only at run time.
+    A text is searched once. A destination holds no blank, so verb and destination are what stands before and
+    after the last blank of a hit. `dynamic`, if the table has it, says that the text was built around values
+    known only at run time.
     """
     require(statements, "sql")
     others = [c for c in statements.columns if c not in ("sql", "dynamic")]
     dynamic = F.col("dynamic") if "dynamic" in statements.columns else F.lit(False)
-    pattern = F.lit(WRITE_STATEMENT)
     hits = statements.select(
         *others,
         F.coalesce(dynamic, F.lit(False)).alias("dynamic"),
-        F.explode(F.regexp_extract_all("sql", pattern, F.lit(0))).alias("hit"),
-    )
-    verb = F.upper(F.regexp_replace(F.regexp_extract("hit", WRITE_STATEMENT, 1), r"(?U)\s+", " "))
+        F.explode(F.regexp_extract_all("sql", F.lit(WRITE_STATEMENT), F.lit(0))).alias("hit"),
+    ).withColumn("hit", F.regexp_replace("hit", r"(?U)\s+", " "))
+    last = F.substring_index("hit", " ", -1)
+    verb = F.substr("hit", F.lit(1), F.length("hit") - F.length(last) - 1)
     return hits.select(
         *others,
-        verb.alias("verb"),
-        clean_destination(F.regexp_extract("hit", WRITE_STATEMENT, 2)).alias("dest"),
+        F.upper(verb).alias("verb"),
+        F.replace(last, F.lit("`")).alias("dest"),
         "dynamic",
     )
 
@@ -125,7 +126,7 @@ def statement_violations(writes: DataFrame, allowed: DataFrame) -> DataFrame:
     require(writes, "repo", *WRITE_COLUMNS)
     known = (
         writes.filter(~F.col("dynamic"))
-        .withColumn("schema_name", schema_of_destination(F.col("dest")))
+        .withColumn("schema_name", destination_schema(F.col("dest")))
         .filter(F.col("schema_name").isNotNull())
     )
     return outside(known, allowed).select(*writes.columns, "schema_name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.functions.names import is_interpolated, schema_of_destination, schema_of_name
+from driftgate.functions.names import destination_schema, is_interpolated, schema_of_name
 from driftgate.operators.audit import allowed_declared, allowed_schemas
 
 
@@ -27,7 +27,7 @@ def schema_gate(
     written = writes.select(
         "repo",
         F.lit("write").alias("source"),
-        F.when(~F.col("dynamic"), schema_of_destination(F.col("dest"))).alias("schema_name"),
+        F.when(~F.col("dynamic"), destination_schema(F.col("dest"))).alias("schema_name"),
         (F.col("dynamic") | is_interpolated(F.col("dest"))).alias("unresolved"),
     )
     tally = (
