@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.functions.names import (
@@ -84,25 +84,28 @@ def statement_writes(statements: DataFrame) -> DataFrame:
     """Every write in each SQL text, with its verb in upper case and its destination.
 
     A text is searched once. A destination holds no blank, so verb and destination are what stands before and
-    after the last blank of a hit. `dynamic`, if the table has it, says that the text was built around values
-    known only at run time.
+    after the last blank of a hit. They are taken inside the list of hits, because a filter on a column made
+    after the explode would evaluate all of it again. `dynamic`, if the table has it, says that the text was
+    built around values known only at run time.
     """
     require(statements, "sql")
     others = [c for c in statements.columns if c not in ("sql", "dynamic")]
     dynamic = F.col("dynamic") if "dynamic" in statements.columns else F.lit(False)
-    hits = statements.select(
+    hits = F.transform(
+        F.regexp_extract_all("sql", F.lit(WRITE_STATEMENT), F.lit(0)),
+        lambda hit: F.regexp_replace(hit, r"(?U)\s+", " "),
+    )
+
+    def parts(hit: Column) -> Column:
+        last = F.substring_index(hit, " ", -1)
+        verb = F.substr(hit, F.lit(1), F.length(hit) - F.length(last) - 1)
+        return F.struct(F.upper(verb).alias("verb"), F.replace(last, F.lit("`")).alias("dest"))
+
+    return statements.select(
         *others,
         F.coalesce(dynamic, F.lit(False)).alias("dynamic"),
-        F.explode(F.regexp_extract_all("sql", F.lit(WRITE_STATEMENT), F.lit(0))).alias("hit"),
-    ).withColumn("hit", F.regexp_replace("hit", r"(?U)\s+", " "))
-    last = F.substring_index("hit", " ", -1)
-    verb = F.substr("hit", F.lit(1), F.length("hit") - F.length(last) - 1)
-    return hits.select(
-        *others,
-        F.upper(verb).alias("verb"),
-        F.replace(last, F.lit("`")).alias("dest"),
-        "dynamic",
-    )
+        F.inline(F.transform(hits, parts)),
+    ).select(*others, *WRITE_COLUMNS)
 
 
 def writer_calls(calls: DataFrame) -> DataFrame:
