@@ -24,6 +24,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,12 @@ def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-# A wrapper's items: "<tag", ">tag" for a closing tag, ["#", text or null], ["+", items], ["?", items].
+def digest(text: str) -> str:
+    """Stands for a text in a wrapper, so that wrappers stay small whatever the pages hold."""
+    return xxhash.xxh3_128_hexdigest(text)
+
+
+# A wrapper's items: "<tag", ">tag" for a closing tag, ["#", digest or null], ["+", items], ["?", items].
 
 
 def page_items(page: str) -> list:
@@ -91,7 +97,7 @@ def page_items(page: str) -> list:
     for kind, name, _ in tokens(page):
         if kind == "text":
             if text := clean(name):
-                out.append(["#", text])
+                out.append(["#", digest(text)])
         else:
             out.append(("<" if kind == "open" else ">") + name)
     return fold(out)
@@ -157,7 +163,7 @@ def align(a: list, b: list) -> list:
             for part in (a[i:j], b[k:l]):
                 flat = [x for item in part for x in bare(item)]
                 if flat:
-                    out.append(["?", flat])
+                    out.append(["?", blank(flat)])
     return fold(out)
 
 
@@ -176,7 +182,7 @@ def merge(a: dict, b: dict) -> dict:
 
 
 def constants(items: list) -> set[str]:
-    """Texts that the wrapper has on every page; what is optional or repeated isn't."""
+    """Digests of texts that the wrapper has on every page; what is optional or repeated isn't."""
     return {i[1] for i in items if not isinstance(i, str) and i[0] == "#" and i[1] is not None}
 
 
@@ -232,7 +238,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, furniture: frozenset[str] = frozenset()) -> str:
-    """The main text of one page. furniture: texts of the host's wrapper, left out unless they stand in an article."""
+    """The main text of one page. furniture: digests of texts of the host's wrapper, left out unless they stand in an article."""
     if not page:
         return ""
     inside: list[str] = []
@@ -282,7 +288,7 @@ def main_text(page: str | None, furniture: frozenset[str] = frozenset()) -> str:
             stack.append((name, within or own, held or (name in ARTICLE and not within)))
         skip, article = state()
     close_block()
-    return "\n".join(inside if seen else [t for t in outside if t not in furniture])
+    return "\n".join(inside if seen else [t for t in outside if not furniture or digest(t) not in furniture])
 
 
 def extract_batch(batch: dict[str, list]) -> dict[str, list]:
