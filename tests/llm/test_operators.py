@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from driftgate.llm import counts, exact, licenses, packing, sentencepieces, sharding, simhash, sketch, wrappers
+from driftgate.llm import counts, exact, licenses, packing, sentencepieces, sharding, simhash, sketch, toxicity, wrappers
 from driftgate.llm.common import prepare
 
 SCHEMA = "doc_id bigint, source string, text string, keep_id string"
@@ -94,8 +96,12 @@ def test_token_counts(docs, empty):
 def test_sentencepiece(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.codec(path)
-    assert codec is sentencepieces.codec(path) and library.get_piece_size() > 0
-    assert sentencepieces.encode_report(docs, path).count() == len(ROWS)
+    found = by_id(sentencepieces.encode_report(docs, path))
+    for i, _, text, _ in ROWS:
+        ids = np.array(library.encode(text or ""), "<u4").tobytes()
+        assert codec.encode([text]) == [ids]
+        assert (found[i]["n_tokens"], found[i]["ids_crc32"]) == (len(ids) // 4, zlib.crc32(ids))
+        assert codec.decode(ids) == (text or "") and found[i]["round_trip"]
 
 
 def test_packing(docs, empty):
@@ -158,3 +164,27 @@ def test_html(spark):
     pages = spark.createDataFrame([(1, "http://h/1", page), (2, "http://h/2", None), (3, None, "")], "page_id bigint, url string, html string")
     found = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
     assert found == {1: "A & b\nOne two", 2: "", 3: ""}
+
+
+def test_toxicity(spark):
+    prepare(spark)
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud"]
+    rows, labels = [], []
+    for i in range(240):
+        text = " ".join(rng.choices(words, k=20)) + (" you vile scum" if i % 4 == 0 else "")
+        rows.append((i, "hot", text, None))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(240, "hot", None, None), (241, "hot", "", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = by_id(toxicity.score_documents(docs, known))
+    assert len(found) == 242 and found[240]["score"] == found[241]["score"]
+    for i, row in found.items():
+        assert row["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert 0 <= row["score"] <= 1 and row["predicted"] == int(row["score"] >= 0.7)
+    held = [(i, r["predicted"]) for i, r in found.items() if r["held_out"]]
+    assert sum(p == int(i < 240 and i % 4 == 0) for i, p in held) >= 0.95 * len(held)
+    kept = toxicity.drop_toxic(docs, known)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["predicted"]}
