@@ -59,9 +59,9 @@ VIEWS = {
         UNION ALL SELECT rev, key, repo, kind, 'storage', storage FROM res
         UNION ALL SELECT rev, key, repo, kind, 'serverless', serverless FROM res""",
     "changed": r"""
-        SELECT b.key, b.repo, b.kind, b.field, b.v AS old_value, h.v AS new_value FROM long b JOIN long h
-          ON b.key = h.key AND b.field = h.field AND b.rev = 'base' AND h.rev = 'head'
-        WHERE b.v IS DISTINCT FROM h.v""",
+        SELECT key, any_value(repo) AS repo, any_value(kind) AS kind, field, max(v) FILTER (WHERE rev = 'base') AS old_value,
+               max(v) FILTER (WHERE rev = 'head') AS new_value FROM long GROUP BY key, field
+        HAVING count(DISTINCT rev) = 2 AND old_value IS DISTINCT FROM new_value""",
     "gone": r"""
         SELECT repo, kind, key FROM res WHERE rev = 'base'
         EXCEPT SELECT repo, kind, key FROM res WHERE rev = 'head'""",
@@ -88,7 +88,7 @@ VIEWS = {
         LEFT JOIN (SELECT repo FROM label WHERE label = 'allow-destroy') d ON f.repo = d.repo
         LEFT JOIN (SELECT repo FROM label WHERE label = 'allow-inactive') o ON f.repo = o.repo""",
     "declared": r"""
-        SELECT repo, name, 'materialize' AS origin FROM named UNION SELECT repo, name, 'retire' FROM retired""",
+        SELECT repo, name, 'materialize' AS origin FROM named WHERE rev = 'head' UNION SELECT repo, name, 'retire' FROM retired""",
     "stmt": r"""
         SELECT event_id, user_id % 7 AS repo, CASE event_type
           WHEN 'click'    THEN 'INSERT  INTO c.brand_' || (user_id % 5) || '.t SELECT 1'
@@ -296,7 +296,8 @@ ORACLE = {
     "statement_unresolved": "SELECT event_id, verb, dest FROM write WHERE dest LIKE '%{%' OR dest LIKE '%}%'",
     "loaded_statements": r"""
         SELECT event_id, user_id % 7 AS repo, event_id % 2000 AS path FROM events
-        WHERE (user_id % 7, event_id % 2000) IN (SELECT (l_suppkey, l_partkey) FROM lineitem)""",
+        WHERE (user_id % 7, event_id % 2000) IN (SELECT (l_suppkey, l_partkey) FROM lineitem
+                                                     WHERE l_shipdate >= TIMESTAMP '1998-01-01')""",
     "writer_calls": "SELECT event_id, repo, verb, dest, dynamic FROM saved",
     "code_violations": r"""
         SELECT event_id, repo, verb, dest, dynamic, schema_name FROM coded_schema w
@@ -326,7 +327,12 @@ ORACLE = {
     "plan_moves_split": r"""
         SELECT repo, 'repo' AS role, 'tionsh' AS old_org, 'neworg' AS new_org FROM owners
         UNION ALL SELECT repo, 'tooling', coalesce(tooling_org, 'tionsh'), 'newtools' FROM owners""",
-    "moved_config": "SELECT repo, 'neworg' AS owner_org, tooling_org, tooling_repo FROM owners",
+    "plan_moves_tooling": r"""
+        SELECT repo, 'tooling' AS role, CASE WHEN owner_org IS NOT NULL THEN coalesce(tooling_org, owner_org) END AS old_org,
+               'newtools' AS new_org FROM owners""",
+    "moved_config": r"""
+        SELECT repo, CASE WHEN owner_org IS NOT NULL THEN 'neworg' END AS owner_org, tooling_org, tooling_repo FROM owners""",
+    "moved_config_source": "SELECT repo, 'neworg' AS owner_org, 'newtools' AS tooling_org, tooling_repo FROM owners",
     "text_rewrite": r"""
         SELECT page_id, new AS text, new <> text AS moved FROM (
           SELECT page_id, text, CASE WHEN tooling_org IS NULL AND owner_org IS NOT NULL THEN
@@ -376,7 +382,9 @@ ORACLE = {
               ON n.repo = s.repo
             LEFT JOIN (SELECT repo, count(*) FILTER (WHERE c.schema_name IS NOT NULL AND a.schema_name IS NULL) AS n_writes_outside,
                               count(*) FILTER (WHERE dynamic OR dest LIKE '%{%' OR dest LIKE '%}%') AS n_unresolved
-                       FROM coded_schema c LEFT JOIN list_allowed a USING (repo, schema_name) GROUP BY repo) w
+                       FROM (SELECT * FROM coded_schema WHERE (repo, event_id % 2000) IN
+                          (SELECT (l_suppkey, l_partkey) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')) c
+                       LEFT JOIN list_allowed a USING (repo, schema_name) GROUP BY repo) w
               ON w.repo = s.repo))""",
     "owner_gate": r"""
         SELECT repo, n_owner, n_tooling, n_drifting, status, CAST(CASE status WHEN 'ok' THEN 0 ELSE 1 END AS BIGINT) AS exit_code

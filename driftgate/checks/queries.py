@@ -59,9 +59,14 @@ def writes(v: Views) -> DataFrame:
 
 def code_writes(v: Views) -> DataFrame:
     """Writes in statements and in calls."""
-    columns = ("event_id", "repo", *audit.WRITE_COLUMNS)
-    calls = audit.writer_calls(v.event_calls).select(*columns)
-    return writes(v).select(*columns).unionByName(calls)
+    return filed_writes(v).drop("path")
+
+
+def filed_writes(v: Views) -> DataFrame:
+    """The same with the file each stands in."""
+    columns = ("event_id", "repo", "path", *audit.WRITE_COLUMNS)
+    calls = audit.writer_calls(v.event_calls).withColumn("path", v.event_path).select(*columns)
+    return audit.statement_writes(v.filed_statements).select(*columns).unionByName(calls)
 
 
 def url_refs(v: Views) -> DataFrame:
@@ -192,8 +197,7 @@ def malformed_names(v: Views) -> DataFrame:
 
 def schema_of_names(v: Views) -> DataFrame:
     name = F.col("name")
-    both = v.declared_rows.select("name").unionByName(v.retired.select("name"))
-    return both.distinct().select(
+    return declared(v).select("name").distinct().select(
         "name", name_parts(name).alias("parts"), schema_of_name(name).alias("schema_name")
     )
 
@@ -309,6 +313,14 @@ def moved_config(v: Views) -> DataFrame:
     return refs.moved_config(v.mixed_config, owner="neworg")
 
 
+def moved_config_source(v: Views) -> DataFrame:
+    return refs.moved_config(v.mixed_config, owner="neworg", tooling="newtools", source="tionsh")
+
+
+def plan_moves_tooling(v: Views) -> DataFrame:
+    return refs.plan_moves(v.mixed_config, tooling="newtools")
+
+
 def text_rewrite(v: Views) -> DataFrame:
     moves = refs.plan_moves(v.mixed_config, owner="neworg")
     return refs.reference_rewrite(v.config_texts, moves, v.mixed_config, TOOLING_REPO).drop("repo")
@@ -343,7 +355,7 @@ def whole_lock_gate(v: Views) -> DataFrame:
 
 
 def whole_schema_gate(v: Views) -> DataFrame:
-    return schema_gate(v.repos, v.schema_config, declared(v), code_writes(v))
+    return schema_gate(v.repos, v.schema_config, declared(v), filed_writes(v), v.files)
 
 
 def whole_owner_gate(v: Views) -> DataFrame:
@@ -404,7 +416,9 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "reference_rewrite": reference_rewrite,
     "plan_moves": plan_moves,
     "plan_moves_split": plan_moves_split,
+    "plan_moves_tooling": plan_moves_tooling,
     "moved_config": moved_config,
+    "moved_config_source": moved_config_source,
     "text_rewrite": text_rewrite,
     "references_moved": references_moved,
     "resource_findings": resource_finding_rows,

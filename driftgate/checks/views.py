@@ -189,7 +189,11 @@ class Views:
     @cached_property
     def filed_statements(self) -> DataFrame:
         """The statements with the file they stand in."""
-        return self.statements.withColumn("path", F.col("event_id") % 2000)
+        return self.statements.withColumn("path", self.event_path)
+
+    @property
+    def event_path(self) -> Column:
+        return F.col("event_id") % 2000
 
     @cached_property
     def event_calls(self) -> DataFrame:

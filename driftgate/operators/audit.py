@@ -12,9 +12,8 @@ from driftgate.functions.names import (
     schema_of_name,
 )
 from driftgate.functions.text import WRITE_STATEMENT
-from driftgate.model import WRITER_METHODS, require, require_string_lists
+from driftgate.model import HEAD, WRITER_METHODS, require, require_string_lists
 from driftgate.operators.inventory import distinct_files
-from driftgate.operators.joins import sized
 
 MATERIALIZED = "materialize"
 RETIRED = "retire"
@@ -40,12 +39,12 @@ def allowed_declared(config: DataFrame) -> DataFrame:
     return config.filter(F.coalesce("provided", "literal").isNotNull()).select("repo").distinct()
 
 
-def declared_union(named: DataFrame, retired: DataFrame) -> DataFrame:
-    """Distinct (repo, name, origin) of everything materialised or retired.
+def declared_union(named: DataFrame, retired: DataFrame, rev: str = HEAD) -> DataFrame:
+    """Distinct (repo, name, origin) of everything materialised in revision `rev` or retired.
 
-    A retirement deletes data, so in this audit it counts by itself.
+    A name that only another revision declares is not audited. A retirement deletes data, so in this audit it counts by itself.
     """
-    made = named.select("repo", "name", F.lit(MATERIALIZED).alias("origin"))
+    made = require(named, "rev").filter(F.col("rev") == rev).select("repo", "name", F.lit(MATERIALIZED).alias("origin"))
     gone = retired.select("repo", "name", F.lit(RETIRED).alias("origin"))
     return made.unionByName(gone).distinct()
 
@@ -61,7 +60,7 @@ def outside(df: DataFrame, allowed: DataFrame) -> DataFrame:
     The rows with an unknown schema must be gone by now, so no null key piles up in one partition.
     """
     pairs = require(allowed, "repo", "schema_name").select("repo", "schema_name")
-    return df.join(sized(pairs), ["repo", "schema_name"], "left_anti")
+    return df.join(pairs, ["repo", "schema_name"], "left_anti")
 
 
 def outside_schema(declared: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -74,10 +73,11 @@ def outside_schema(declared: DataFrame, allowed: DataFrame) -> DataFrame:
     return outside(known, allowed).select("repo", "name", "origin", "schema_name")
 
 
-def in_loaded_files(found: DataFrame, files: DataFrame) -> DataFrame:
-    """The statements or calls in files that some pipeline loads, each once however many load it."""
+def in_loaded_files(found: DataFrame, files: DataFrame, rev: str = HEAD) -> DataFrame:
+    """The statements or calls in files that some pipeline loads in revision `rev`, each once however many load it."""
     require(found, "repo", "path")
-    return found.join(distinct_files(files), ["repo", "path"], "left_semi")
+    loaded = distinct_files(require(files, "rev").filter(F.col("rev") == rev))
+    return found.join(loaded, ["repo", "path"], "left_semi")
 
 
 def statement_writes(statements: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from driftgate.functions.text import (
     replacement,
 )
 from driftgate.model import OWNER_ROLE, TOOLING_ROLE, require
-from driftgate.operators.joins import sized
 
 # Control characters that mark a hit inside a text. The opening one is replaced where a text has it.
 OPEN, MIDDLE, CLOSE, OTHER = "\x01", "\x02", "\x03", "\x04"
@@ -150,7 +149,7 @@ def reference_audit(refs: DataFrame, config: DataFrame, default_tooling_repo: st
     expected = role_expected(F.col("role"), F.col("owner_org"), F.col("tooling_org"))
     repo_name = F.coalesce(filled(F.col("tooling_repo")), F.lit(default_tooling_repo))
     return (
-        refs.join(sized(settings), "repo", "left")
+        refs.join(settings, "repo", "left")
         .filter(third_party_filter(repo_name))
         .select(*refs.columns, expected.alias("expected"))
         .withColumn("drifts", ~F.col("org").eqNullSafe(F.col("expected")))
@@ -177,13 +176,13 @@ def plan_moves(
 
     Without a declared tooling owner, moving the owner moves the tooling too, because tooling follows the
     owner. `source` replaces the declared owner, for a repository that declares none yet. A repository with
-    neither has no owner to move from, and its row for the owner has a null `old_org`.
+    neither has no owner to move from: nothing of it moves, and its rows have a null `old_org`.
     """
     if not (owner or tooling):
         raise ValueError("give an owner or a tooling owner to move to")
     require(config, "repo", "owner_org", "tooling_org", "tooling_repo")
     old_owner = F.lit(source) if source else F.col("owner_org")
-    old_tooling = F.coalesce(filled(F.col("tooling_org")), old_owner)
+    old_tooling = F.when(old_owner.isNotNull(), F.coalesce(filled(F.col("tooling_org")), old_owner))
     moves = []
     if owner:
         moves.append(F.struct(
@@ -197,13 +196,23 @@ def plan_moves(
     return config.select("repo", F.inline(F.array_compact(F.array(*moves))))
 
 
-def moved_config(config: DataFrame, owner: str | None = None, tooling: str | None = None) -> DataFrame:
-    """The declarations after a move. What is given is declared, even if it equals the old value."""
+def moved_config(
+    config: DataFrame, owner: str | None = None, tooling: str | None = None, source: str | None = None
+) -> DataFrame:
+    """The declarations after a move. What is given is declared, even if it equals the old value.
+
+    Where neither an owner is declared nor `source` is given, the move is refused and the row stays as it is.
+    """
     require(config, "repo", "owner_org", "tooling_org", "tooling_repo")
+    moves = F.coalesce(F.lit(source), F.col("owner_org")).isNotNull()
+
+    def after(new: str | None, column: str) -> Column:
+        return (F.when(moves, F.lit(new)).otherwise(F.col(column)) if new else F.col(column)).alias(column)
+
     return config.select(
         "repo",
-        (F.lit(owner) if owner else F.col("owner_org")).alias("owner_org"),
-        (F.lit(tooling) if tooling else F.col("tooling_org")).alias("tooling_org"),
+        after(owner, "owner_org"),
+        after(tooling, "tooling_org"),
         "tooling_repo",
     )
 
@@ -252,7 +261,7 @@ def reference_rewrite(
     """
     columns = require(texts, "repo", "text").columns
     settings = moves_by_repo(moves, config, default_tooling_repo)
-    steps = texts.join(sized(settings), "repo", "left")
+    steps = texts.join(settings, "repo", "left")
     steps = steps.withColumn("original", F.col("text"))
     for pattern in patterns:
         steps = steps.withColumn("text", rewritten(F.col("text"), pattern))
@@ -267,7 +276,7 @@ def references_moved(
     of = lambda c: F.when(F.col("role") == TOOLING_ROLE, F.col(f"{TOOLING_ROLE}_{c}")).otherwise(
         F.col(f"{OWNER_ROLE}_{c}"))
     return (
-        refs.join(sized(settings), "repo")
+        refs.join(settings, "repo")
         .filter(third_party_filter(F.col("governed_repo")))
         .filter((F.col("org") == of("old_org")) & (of("old_org") != of("new_org")))
         .withColumn("org", of("new_org"))

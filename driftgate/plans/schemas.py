@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.functions.names import destination_schema, is_interpolated, schema_of_name
-from driftgate.operators.audit import allowed_declared, allowed_schemas
+from driftgate.operators.audit import allowed_declared, allowed_schemas, in_loaded_files
 
 
 def schema_gate(
-    repos: DataFrame, config: DataFrame, declared: DataFrame, writes: DataFrame
+    repos: DataFrame, config: DataFrame, declared: DataFrame, writes: DataFrame, files: DataFrame
 ) -> DataFrame:
     """The verdict of every known repository, from the first check that fails.
 
     Names and writes are counted by schema before anything is joined, so the join with the allowed schemas
-    sees one row per repository and schema, however many names fall into it. The allowed schemas come from
-    lists, whose exploded size Spark cannot foresee, so they are not broadcast.
+    sees one row per repository and schema, however many names fall into it. Only writes in files that some
+    pipeline loads at head count.
     """
     declares = declared.select(
         "repo",
@@ -24,7 +24,7 @@ def schema_gate(
         schema_of_name(F.col("name")).alias("schema_name"),
         F.lit(False).alias("unresolved"),
     )
-    written = writes.select(
+    written = in_loaded_files(writes, files).select(
         "repo",
         F.lit("write").alias("source"),
         F.when(~F.col("dynamic"), destination_schema(F.col("dest"))).alias("schema_name"),
@@ -43,7 +43,7 @@ def schema_gate(
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
 
     counts = (
-        tally.join(pairs.hint("merge"), ["repo", "schema_name"], "left")
+        tally.join(pairs, ["repo", "schema_name"], "left")
         .groupBy("repo")
         .agg(
             total(is_name, "n_declared"),

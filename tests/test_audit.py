@@ -23,10 +23,12 @@ class Repo:
         self.sql = []
         self.dynamic_sql = []
         self.calls = []
+        self.earlier = []
+        self.files = spark.createDataFrame([(1, "head", "f.py"), (1, "base", "dropped.py")], "repo bigint, rev string, path string")
 
     def declared(self):
         return audit.declared_union(
-            self.spark.createDataFrame([(1, "head", n) for n in self.named], model.NAMED_SCHEMA),
+            self.spark.createDataFrame([(1, "head", n) for n in self.named] + [(1, "base", n) for n in self.earlier], model.NAMED_SCHEMA),
             self.spark.createDataFrame([(1, n, "unused") for n in self.retired], model.RETIRED_SCHEMA))
 
     def allowed(self):
@@ -42,7 +44,7 @@ class Repo:
     def gate(self):
         repos = self.spark.createDataFrame([(1,)], "repo bigint")
         config = self.spark.createDataFrame([self.config], CONFIG)
-        return schema_gate(repos, config, self.declared(), self.writes()).first()
+        return schema_gate(repos, config, self.declared(), self.writes(), self.files).first()
 
     def violations(self):
         return rows(audit.statement_violations(self.writes(), self.allowed()), "verb", "schema_name")
@@ -143,10 +145,21 @@ def test_own_unqualified_and_read_tables_are_fine(repo):
 
 def test_only_loaded_files_count_and_only_once(spark):
     found = spark.createDataFrame([(1, "f.py", "x"), (1, "draft.py", "x"), (2, "f.py", "x")], "repo bigint, path string, sql string")
-    files = spark.createDataFrame([(1, "f.py"), (1, "f.py"), (1, "other.py")], "repo bigint, path string")
+    files = spark.createDataFrame([(1, "head", "f.py"), (1, "head", "f.py"), (1, "base", "draft.py")], "repo bigint, rev string, path string")
     assert rows(audit.in_loaded_files(found, files)) == [(1, "f.py", "x")]
 
 
+def test_a_name_that_only_the_base_declares_is_not_audited(repo):
+    repo.earlier = ["{c}.kitchen.recipes"]
+    assert verdict(repo) == ("ok", 0)
+
+
+def test_a_write_in_a_file_no_longer_loaded_does_not_block(repo, spark):
+    repo.files = spark.createDataFrame([(1, "base", "f.py")], "repo bigint, rev string, path string")
+    repo.sql = ["INSERT INTO kitchen.recipes"]
+    assert verdict(repo) == ("ok", 0)
+
+
 def test_a_dynamic_destination_only_warns(repo):
     repo.dynamic_sql = ["INSERT INTO .tabla VALUES (1)"]
     repo.calls = [("saveAsTable", None)]

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from driftgate.operators import audit, diff, inventory, refs
 from driftgate.operators.gate import finding_report
-from driftgate.operators.joins import sized
 from driftgate.operators.ranking import number_rows
 from driftgate.session import durable
 
@@ -42,15 +41,25 @@ def numbers(spark):
     return spark.range(0, N, 1, 8)
 
 
-def test_a_side_is_broadcast_only_within_its_bound(spark, plan):
-    left = spark.range(100).select(F.col("id").alias("k"))
-    small, large = spark.range(10).withColumnRenamed("id", "k"), spark.range(11).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in plan(left.join(sized(small, 10), "k"))
-    assert "ShuffledHashJoin" in plan(left.join(sized(large, 10), "k"))
+def test_building_an_audit_starts_no_job(spark):
+    declared = numbers(spark).select(
+        F.col("id").alias("repo"), F.lit("{c}.s.t").alias("name"), F.lit("materialize").alias("origin"))
+    allowed = spark.range(500).select(F.col("id").alias("repo"), F.lit("s").alias("schema_name"))
+    spark.sparkContext.setJobGroup("building", "")
+    audit.outside_schema(declared, allowed)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
 
 
-def test_schema_audit_splits_a_hot_repository(skewed, plan, monkeypatch):
-    monkeypatch.setattr(audit, "sized", lambda side: sized(side, 10))
+def test_loaded_files_split_a_hot_repository(skewed, plan):
+    found = numbers(skewed).select(F.lit(1).alias("repo"), hot(F.col("id"), 997).alias("path"), F.col("id").alias("line"))
+    files = skewed.range(998).select(F.lit(1).alias("repo"), F.lit("head").alias("rev"), F.col("id").alias("path"))
+    loaded = audit.in_loaded_files(found, files)
+    assert len(loaded.collect()) == N
+    assert "skew=true" in plan(loaded)
+
+
+def test_schema_audit_splits_a_hot_repository(skewed, plan):
     declared = numbers(skewed).select(
         hot(F.col("id"), 997).alias("repo"),
         F.concat(F.lit("{c}.s"), F.col("id") % 2, F.lit(".t"), F.col("id")).alias("name"),
@@ -75,8 +84,7 @@ def test_inventory_join_splits_a_hot_file(skewed, plan):
     assert "skew=true" in plan(names)
 
 
-def test_reference_audit_splits_a_hot_repository(skewed, plan, monkeypatch):
-    monkeypatch.setattr(refs, "sized", lambda side: sized(side, 10))
+def test_reference_audit_splits_a_hot_repository(skewed, plan):
     found = numbers(skewed).select(
         hot(F.col("id"), 997).alias("repo"), F.col("id").alias("page"), F.lit("repo").alias("role"),
         F.when(F.col("id") % 2 == 0, "own").otherwise("else").alias("org"), F.lit(None).cast("string").alias("target_repo"))
