@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftgate.llm import counts, exact, licenses, packing, sentencepieces, sharding, simhash, sketch, toxicity, wrappers
+from driftgate.llm import (
+    counts,
+    exact,
+    licenses,
+    packing,
+    sentencepieces,
+    sharding,
+    simhash,
+    sketch,
+    toxicity,
+    variants,
+    wrappers,
+)
 from driftgate.llm.common import prepare, table
 
 
@@ -59,11 +71,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_exact_dedup, op3_fingerprints, op4_simhash, op5_token_counts,
-        op6_html_extraction, op7_packing, op8_toxicity, op9_resharding, op10_licenses,
+        op6_html_extraction, op7_packing, op8_toxicity, op9_resharding, op10_licenses, op12_variants,
     )
 }
 
