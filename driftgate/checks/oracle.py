@@ -127,7 +127,7 @@ VIEWS = {
                || '    - uses: actions/checkout@v4' || chr(10) || 'dev = ["x @ git+https://github.com/' || o || '/' || r
                || '@v1"]' || chr(10) || '* @' || o || '/data @' || o || '/ops' || chr(10) || chr(10)
                || '  github_org = "' || o || '"' || chr(10) || 'tooling_org = "thther"' || chr(10) || '# '
-               || regexp_replace(html, '[\n@]', ' ', 'g') || chr(10) AS text
+               || html || chr(10) AS text
         FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN 'other-ci' ELSE 'shared-ci' END AS r,
                      coalesce(nullif(regexp_extract(url, '{HOST}', 2), ''), 'nobody') AS o FROM pages)""",
     "cfg_line": r"""
@@ -313,6 +313,16 @@ ORACLE = {
     "reference_drift": "SELECT page_id, role, org, expected FROM governed WHERE org <> expected",
     "reference_counts": "SELECT role, count(*) AS n FROM governed GROUP BY role",
     "reference_lines": "SELECT page_id, line, role, kind, org, target_repo FROM found",
+    "reference_matches": rf"""
+        SELECT page_id, line, 'reusable workflow' AS kind,
+               trim(unnest(regexp_extract_all(l, '^\s*uses:\s*{ORG}/[\w.-]+/\.github/workflows/'))) AS matched FROM cfg_line
+        UNION ALL SELECT page_id, line, 'git dependency', unnest(regexp_extract_all(l, 'git\+https://github\.com/{ORG}/[\w.-]+'))
+        FROM cfg_line
+        UNION ALL SELECT page_id, line, 'owner team', unnest(regexp_extract_all(l, '@{ORG}/[\w.-]+')) FROM cfg_line
+        UNION ALL SELECT page_id, line, 'owner declaration', trim(unnest(regexp_extract_all(l, '^\s*github_org\s*=\s*"{ORG}"')))
+        FROM cfg_line
+        UNION ALL SELECT page_id, line, 'tooling declaration', trim(unnest(regexp_extract_all(l, '^\s*tooling_org\s*=\s*"{ORG}"')))
+        FROM cfg_line""",
     "governed_files": r"""
         SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'docs/CODEOWNERS'
                              ELSE '.github/workflows/' || page_id || '.yaml' END AS path

@@ -284,7 +284,12 @@ def reference_counts(v: Views) -> DataFrame:
 
 
 def reference_lines(v: Views) -> DataFrame:
-    return refs.reference_extract(v.config_texts).drop("repo")
+    return refs.reference_extract(v.config_texts).drop("repo", "matched")
+
+
+def reference_matches(v: Views) -> DataFrame:
+    """The matched text of every reference."""
+    return refs.reference_extract(v.config_texts).select("page_id", "line", "kind", "matched")
 
 
 def governed_files(v: Views) -> DataFrame:
@@ -411,6 +416,7 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "reference_drift": reference_drift,
     "reference_counts": reference_counts,
     "reference_lines": reference_lines,
+    "reference_matches": reference_matches,
     "governed_files": governed_files,
     "read_org_config": read_org_config,
     "reference_rewrite": reference_rewrite,

@@ -253,7 +253,7 @@ class Views:
             F.lit("/.github/workflows/ci.yml@v1\n  steps:\n    - uses: actions/checkout@v4\ndev = [\"x @ git+https://github.com/"),
             owner, F.lit("/"), repo, F.lit("@v1\"]\n* @"), owner, F.lit("/data @"), owner,
             F.lit("/ops\n\n  github_org = \""), owner, F.lit("\"\ntooling_org = \"thther\"\n# "),
-            F.regexp_replace("html", r"[\n@]", " "), F.lit("\n"),
+            F.col("html"), F.lit("\n"),
         )
         return self.table("pages").select(
             "page_id", (F.col("page_id") % 10).alias("repo"), text.alias("text")

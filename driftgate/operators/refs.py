@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 from driftgate.functions.text import (
     LINE_FLAGS,
     REFERENCE_PATTERNS,
-    REPO_NAME,
     ReferencePattern,
-    quoted,
-    replacement,
+    field_hits,
+    hit_lines,
+    search_fields,
+    strip,
+    unescaped,
 )
 from driftgate.model import OWNER_ROLE, TOOLING_ROLE, require
 
-# Control characters that mark a hit inside a text. The opening one is replaced where a text has it.
-OPEN, MIDDLE, CLOSE, OTHER = "\x01", "\x02", "\x03", "\x04"
-MARK = f"{OPEN}([^{MIDDLE}]*){MIDDLE}([^{CLOSE}]*){CLOSE}"
-
 # The files that are governed, and a declaration in a settings file.
 GOVERNED_FILES = ("pyproject.toml", "CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS")
 GOVERNED_WORKFLOWS = r"^\.github/workflows/[^/]+\.ya?ml$"
@@ -45,53 +43,41 @@ def line_matches(
     )
 
 
+def with_hits(texts: DataFrame, patterns: Sequence[ReferencePattern]) -> DataFrame:
+    """Add `_fields` and `_hits`: the result of one search of each text for all patterns.
+
+    Each step is a projection of its own, because the search must not be repeated for every use of its result.
+    """
+    return texts.withColumn("_fields", search_fields(F.col("text"), patterns)).withColumn(
+        "_hits", field_hits(F.col("_fields"), patterns)
+    )
+
+
 def reference_extract(
     texts: DataFrame, patterns: Sequence[ReferencePattern] = REFERENCE_PATTERNS
 ) -> DataFrame:
-    """Every reference: kind, role, owner, repository if it names one, and the line of the owner.
+    """Every reference: kind, role, owner, repository if it names one, the line of the owner, and the text that matched.
 
-    All patterns work on one scan. Each hit is replaced in place by a mark, which keeps the line breaks, so
-    splitting the marked text gives the line.
+    A text is searched once, with all patterns in one expression, and only hits are exploded. Patterns are tried in their
+    order where two begin at the same place.
     """
     others = [c for c in require(texts, "text").columns if c != "text"]
-    cleaned = texts.withColumn("text", F.replace("text", F.lit(OPEN), F.lit(OTHER)))
-    marked = F.array_compact(
-        F.array(*[
-            F.when(
-                F.col("text").contains(p.needle),
-                F.struct(
-                    F.lit(p.kind).alias("kind"),
-                    F.lit(p.role).alias("role"),
-                    F.lit(bool(p.repo)).alias("names_repo"),
-                    F.regexp_replace(
-                        "text", F.lit(p.expression), F.lit(f"$1{OPEN}$2{MIDDLE}$3{CLOSE}")
-                    ).alias("marked"),
-                ),
-            )
-            for p in patterns
-        ])
-    )
-    lines = (
-        cleaned.select(*others, F.inline(marked))
-        .filter(F.col("marked").contains(OPEN))
-        .select(
-            *others, "kind", "role", "names_repo",
-            F.posexplode(F.split("marked", "\n")).alias("pos", "content"),
+    of = lambda values, number: F.element_at(F.array(*[F.lit(v) for v in values]), number)
+    names_repo = F.array(*[F.lit(bool(p.repo)) for p in patterns])
+    found = with_hits(texts, patterns).withColumn("_lines", F.when(F.size("_hits") > 0, hit_lines(F.col("_hits"))))
+
+    def reference(hit: Column, i: Column) -> Column:
+        whole = F.concat(hit["before"], hit["org"], hit["between"], hit["repo"], hit["after"])
+        return F.struct(
+            F.get("_lines", i).alias("line"),
+            of([p.role for p in patterns], hit["pattern"]).alias("role"),
+            of([p.kind for p in patterns], hit["pattern"]).alias("kind"),
+            hit["org"].alias("org"),
+            F.when(F.element_at(names_repo, hit["pattern"]), hit["repo"]).alias("target_repo"),
+            strip(unescaped(whole)).alias("matched"),
         )
-        .filter(F.col("content").contains(OPEN))
-    )
-    hits = lines.select(
-        *others, "kind", "role", "names_repo", "pos",
-        F.explode(F.regexp_extract_all("content", F.lit(MARK), F.lit(0))).alias("hit"),
-    )
-    return hits.select(
-        *others,
-        (F.col("pos") + 1).cast("bigint").alias("line"),
-        "role",
-        "kind",
-        F.regexp_extract("hit", MARK, 1).alias("org"),
-        F.when(F.col("names_repo"), F.regexp_extract("hit", MARK, 2)).alias("target_repo"),
-    )
+
+    return found.select(*others, F.inline(F.transform("_hits", reference)))
 
 
 def governed_files(texts: DataFrame) -> DataFrame:
@@ -138,14 +124,29 @@ def third_party_filter(tooling_repo: Column) -> Column:
     )
 
 
+def one_setting(config: DataFrame, *columns: str) -> DataFrame:
+    """One row (repo, *columns) per repository. Equal rows are one; a repository with differing rows is an error.
+
+    A second row would multiply every reference of the repository.
+    """
+    settings = F.struct(*columns)
+    error = F.raise_error(F.concat(F.lit("more than one settings row for repository "), F.col("repo").cast("string")))
+    return (
+        require(config, "repo", *columns)
+        .groupBy("repo")
+        .agg(F.min(settings).alias("least"), F.max(settings).alias("most"))
+        .select("repo", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(error.cast(config.select(settings).schema[0].dataType)).alias("one"))
+        .select("repo", "one.*")
+    )
+
+
 def reference_audit(refs: DataFrame, config: DataFrame, default_tooling_repo: str) -> DataFrame:
     """The governed references, the owner each must name, and whether it names another.
 
-    `config` has one row per repository. It is joined once for filter and check.
+    `config` has one row per repository, which is checked. It is joined once for filter and check.
     """
-    require(config, "repo", "owner_org", "tooling_org", "tooling_repo")
     require(refs, "repo", "role", "org", "target_repo")
-    settings = config.select("repo", "owner_org", "tooling_org", "tooling_repo")
+    settings = one_setting(config, "owner_org", "tooling_org", "tooling_repo")
     expected = role_expected(F.col("role"), F.col("owner_org"), F.col("tooling_org"))
     repo_name = F.coalesce(filled(F.col("tooling_repo")), F.lit(default_tooling_repo))
     return (
@@ -225,26 +226,7 @@ def moves_by_repo(moves: DataFrame, config: DataFrame, default_tooling_repo: str
     pairs = [of(role, c) for role in (OWNER_ROLE, TOOLING_ROLE) for c in ("old_org", "new_org")]
     repo_name = F.coalesce(filled(F.col("tooling_repo")), F.lit(default_tooling_repo))
     wide = require(moves, "repo", "role", "old_org", "new_org").groupBy("repo").agg(*pairs)
-    return wide.join(config.select("repo", repo_name.alias("governed_repo")), "repo", "left")
-
-
-def rewritten(text: Column, pattern: ReferencePattern) -> Column:
-    """`text` with the owner replaced where this pattern names the old one."""
-    old, new = F.col(f"{pattern.role}_old_org"), F.col(f"{pattern.role}_new_org")
-    governed = pattern.repo and pattern.role == TOOLING_ROLE
-    repo = (
-        F.concat(quoted(F.col("governed_repo")), F.lit(rf"(?!{REPO_NAME[:-1]})"))
-        if governed
-        else F.lit(pattern.repo)
-    )
-    expression = F.concat(
-        F.lit(f"{LINE_FLAGS}({pattern.before})"), quoted(old),
-        F.lit(f"({pattern.between}"), repo, F.lit(f"{pattern.after})"),
-    )
-    applies = old.isNotNull() & (old != new) & text.contains(pattern.needle) & text.contains(old)
-    return F.when(
-        applies, F.regexp_replace(text, expression, F.concat(F.lit("$1"), replacement(new), F.lit("$2")))
-    ).otherwise(text)
+    return wide.join(one_setting(config, "tooling_repo").select("repo", repo_name.alias("governed_repo")), "repo", "left")
 
 
 def reference_rewrite(
@@ -257,15 +239,30 @@ def reference_rewrite(
     """The texts with the moved owners replaced, and whether each changed.
 
     Only the owner in a governed reference changes, and only where it is the old owner of a role that
-    moves. All texts are kept, so the result can replace the table.
+    moves. The search is the one of `reference_extract` and knows no owner; the text is then put together again from the
+    stretches between owners, which stay as they are, and the owners, old or new. All texts are kept, so the result can
+    replace the table. A null text stays null and has not moved.
     """
     columns = require(texts, "repo", "text").columns
     settings = moves_by_repo(moves, config, default_tooling_repo)
-    steps = texts.join(settings, "repo", "left")
-    steps = steps.withColumn("original", F.col("text"))
-    for pattern in patterns:
-        steps = steps.withColumn("text", rewritten(F.col("text"), pattern))
-    return steps.select(*columns, (F.col("text") != F.col("original")).alias("moved"))
+    found = with_hits(texts, patterns).join(settings, "repo", "left")
+    is_tooling = F.array(*[F.lit(p.role == TOOLING_ROLE) for p in patterns])
+    governs = F.array(*[F.lit(p.role == TOOLING_ROLE and bool(p.repo)) for p in patterns])
+
+    def moved(hit: Column) -> Column:
+        of = lambda c: F.when(
+            F.element_at(is_tooling, hit["pattern"]), F.col(f"{TOOLING_ROLE}_{c}")
+        ).otherwise(F.col(f"{OWNER_ROLE}_{c}"))
+        own = ~F.element_at(governs, hit["pattern"]) | (hit["repo"] == F.col("governed_repo"))
+        return F.when(own & (hit["org"] == of("old_org")), of("new_org"))
+
+    part = lambda hit: F.concat(hit["stretch"], hit["before"], F.coalesce(moved(hit), hit["org"]))
+    pieces = F.concat(F.transform("_hits", part), F.slice("_fields", -1, 1))
+    spliced = found.withColumn("_spliced", F.when(F.size("_hits") > 0, unescaped(F.array_join(pieces, ""))).otherwise(F.col("text")))
+    return spliced.select(
+        *[F.col("_spliced").alias("text") if c == "text" else c for c in columns],
+        F.coalesce(F.col("_spliced") != F.col("text"), F.lit(False)).alias("moved"),
+    )
 
 
 def references_moved(
