@@ -62,6 +62,67 @@ VIEWS = {
         SELECT key, any_value(repo) AS repo, any_value(kind) AS kind, field, max(v) FILTER (WHERE rev = 'base') AS old_value,
                max(v) FILTER (WHERE rev = 'head') AS new_value FROM long GROUP BY key, field
         HAVING count(DISTINCT rev) = 2 AND old_value IS DISTINCT FROM new_value""",
+    "typed": r"""
+        SELECT * FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'base' ELSE 'head' END AS rev, o_custkey AS key,
+               ['1', '1', '"1"', 'true', '{"a":[1,2],"b":"x.0"}', '{"a":[1,2],"b":"x.0"}'][o_orderkey % 6 + 1] AS catalog,
+               ['[1,2]', '[2,1]', NULL, NULL][o_orderkey % 4 + 1] AS schema, ['100', '100', '100.5'][o_orderkey % 3 + 1] AS storage,
+               CASE WHEN o_totalprice > 250000 THEN 'true' ELSE '"true"' END AS serverless,
+               row_number() OVER (PARTITION BY o_custkey, o_orderdate < TIMESTAMP '1998-01-01' ORDER BY o_orderkey DESC) AS rn
+        FROM orders) WHERE rn = 1""",
+    "typed_long": r"""
+        SELECT rev, key, 'catalog' AS field, catalog AS v FROM typed UNION ALL SELECT rev, key, 'schema', schema FROM typed
+        UNION ALL SELECT rev, key, 'storage', storage FROM typed UNION ALL SELECT rev, key, 'serverless', serverless FROM typed""",
+    "dated": r"""
+        SELECT DISTINCT l_suppkey AS repo, 'y' || year(l_shipdate) AS rev,
+               regexp_replace(coalesce(CASE p_size WHEN 1 THEN NULL WHEN 3 THEN '${bundle.target}'
+                 ELSE '${var.catalog_' || lower(p_type) || '}' END, '{catalog}'), '^\$\{(var\.)?(.*)\}$', '{\2}')
+               || '.' || CASE WHEN p_size = 2 THEN 'default' ELSE lower(replace(p_brand, '#', '_')) END
+               || '.' || replace(p_name, ' ', '_') AS name
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "pair": r"""
+        SELECT s_suppkey AS repo, CASE WHEN s_nationkey % 7 = 0 THEN 'lost' ELSE 'y' || (1993 + s_nationkey % 4) END AS base_rev,
+               'y1997' AS head_rev FROM supplier
+        UNION ALL SELECT s_suppkey, 'y1994', 'y1995' FROM supplier WHERE s_suppkey % 3 = 0""",
+    "read_rev": "SELECT DISTINCT l_suppkey AS repo, 'y' || year(l_shipdate) AS rev FROM lineitem",
+    "listed_rev": "SELECT DISTINCT repo, rev FROM dated WHERE name LIKE '%.brand_7.%'",
+    "pair_seen": r"""
+        SELECT p.*, EXISTS (SELECT 1 FROM read_rev r WHERE r.repo = p.repo AND r.rev = base_rev) AS has_base,
+               EXISTS (SELECT 1 FROM read_rev r WHERE r.repo = p.repo AND r.rev = head_rev) AS has_head,
+               EXISTS (SELECT 1 FROM listed_rev r WHERE r.repo = p.repo AND r.rev = base_rev) AS base_listed,
+               EXISTS (SELECT 1 FROM listed_rev r WHERE r.repo = p.repo AND r.rev = head_rev) AS head_listed FROM pair p""",
+    "pair_gone": r"""
+        SELECT p.*, b.name FROM pair p JOIN dated b ON b.repo = p.repo AND b.rev = p.base_rev
+        WHERE NOT EXISTS (SELECT 1 FROM dated h WHERE h.repo = p.repo AND h.rev = p.head_rev AND h.name = b.name)""",
+    "dated_res": r"""
+        SELECT * FROM (SELECT o_custkey % 10 AS repo, 'y' || year(o_orderdate) AS rev, o_custkey AS key,
+               CASE WHEN o_custkey % 4 = 0 THEN 'jobs' ELSE 'pipelines' END AS kind, o_orderpriority AS catalog, o_orderstatus AS schema,
+               CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS target, CAST(month(o_orderdate) AS VARCHAR) AS storage,
+               CAST(o_totalprice > 250000 AS VARCHAR) AS serverless,
+               row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
+    "pair_found": r"""
+        SELECT p.repo, p.base_rev, p.head_rev, CASE WHEN b.kind = 'jobs' THEN 'NOTICE' ELSE 'DESTRUCTIVE' END AS severity
+        FROM pair_seen p JOIN dated_res b ON has_base AND b.repo = p.repo AND b.rev = p.base_rev
+        WHERE NOT EXISTS (SELECT 1 FROM dated_res h WHERE h.key = b.key AND h.rev = p.head_rev)
+        UNION ALL SELECT p.repo, p.base_rev, p.head_rev, 'DESTRUCTIVE'
+        FROM pair_seen p JOIN dated_res b ON has_base AND b.repo = p.repo AND b.rev = p.base_rev AND b.kind = 'pipelines'
+        JOIN dated_res h ON h.key = b.key AND h.rev = p.head_rev,
+             (SELECT unnest(['catalog', 'schema', 'target', 'storage', 'serverless']) AS f)
+        WHERE CASE f WHEN 'catalog' THEN b.catalog IS DISTINCT FROM h.catalog WHEN 'schema' THEN b.schema IS DISTINCT FROM h.schema
+                     WHEN 'target' THEN b.target IS DISTINCT FROM h.target WHEN 'storage' THEN b.storage IS DISTINCT FROM h.storage
+                     ELSE b.serverless IS DISTINCT FROM h.serverless END
+        UNION ALL SELECT g.repo, g.base_rev, g.head_rev, CASE WHEN r.name IS NULL THEN 'ORPHAN' ELSE 'DESTRUCTIVE' END
+        FROM pair_gone g JOIN pair_seen USING (repo, base_rev, head_rev) LEFT JOIN retired r ON r.repo = g.repo AND r.name = g.name
+        WHERE has_base AND head_listed
+        UNION ALL SELECT repo, base_rev, head_rev, 'NOTICE' FROM pair_seen WHERE has_base AND NOT head_listed""",
+    "pair_sum": r"""
+        SELECT repo, base_rev, head_rev, count(*) AS n, bool_or(severity = 'DESTRUCTIVE') AS d, bool_or(severity = 'ORPHAN') AS o
+        FROM pair_found GROUP BY repo, base_rev, head_rev""",
+    "written_file": r"""
+        SELECT l_suppkey AS repo, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'base' ELSE 'head' END AS rev, l_partkey AS part,
+               ['resources/p.yml', 'resources/more/p.yml', 'p.yml'][l_linenumber % 3 + 1] AS declared_in,
+               ['../', './x/../.././', '../..//', '', '/'][l_orderkey % 5 + 1] || 'pipelines/' || l_partkey || '.py' AS written,
+               CASE l_orderkey % 5 WHEN 0 THEN [0, 1, -1] WHEN 1 THEN [0, 1, -1] WHEN 2 THEN [-1, 0, -1] WHEN 3 THEN [1, 2, 0]
+                    ELSE [-1, -1, -1] END[l_linenumber % 3 + 1] AS folders FROM lineitem""",
     "gone": r"""
         SELECT repo, kind, key FROM res WHERE rev = 'base'
         EXCEPT SELECT repo, kind, key FROM res WHERE rev = 'head'""",
@@ -185,9 +246,10 @@ BLANKS = "concat({})".format(
 
 def pages(lines: int) -> str:
     return f"""
-        SELECT repo, severity, {SECTION} AS section, page, string_agg(item, chr(10) ORDER BY item) AS detail
-        FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY repo, severity ORDER BY item) - 1) / {lines})
-                             AS BIGINT) AS page FROM finding)
+        SELECT repo, severity, {SECTION} AS section, page, any_value(total) AS total,
+               string_agg(item || coalesce(': ' || detail, ''), chr(10) ORDER BY item, detail) AS detail
+        FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY repo, severity ORDER BY item, detail) - 1) / {lines})
+                             AS BIGINT) AS page, count(*) OVER (PARTITION BY repo, severity) AS total FROM finding)
         GROUP BY repo, severity, page"""
 
 
@@ -235,6 +297,38 @@ ORACLE = {
         SELECT repo, kind, key, CASE kind WHEN 'pipelines' THEN 'DESTRUCTIVE' ELSE 'NOTICE' END AS severity
         FROM gone""",
     "recreate_fields": "SELECT key, field, old_value, new_value FROM changed",
+    "recreate_typed": r"""
+        SELECT key, field, max(v) FILTER (WHERE rev = 'base') AS old_value, max(v) FILTER (WHERE rev = 'head') AS new_value
+        FROM typed_long GROUP BY key, field HAVING count(DISTINCT rev) = 2 AND old_value IS DISTINCT FROM new_value""",
+    "pair_removed": "SELECT repo, base_rev, head_rev, name FROM pair_gone",
+    "pair_drift": r"""
+        SELECT repo, base_rev, head_rev, name, 'extra' AS drift FROM pair_gone
+        UNION ALL SELECT p.repo, p.base_rev, p.head_rev, h.name, 'missing'
+        FROM pair p JOIN dated h ON h.repo = p.repo AND h.rev = p.head_rev
+        WHERE NOT EXISTS (SELECT 1 FROM dated b WHERE b.repo = p.repo AND b.rev = p.base_rev AND b.name = h.name)""",
+    "pair_guard": r"""
+        SELECT *, CASE WHEN NOT has_base THEN 'unresolved' WHEN NOT head_listed THEN 'no inventory at head'
+                       WHEN NOT base_listed THEN 'no inventory at base' ELSE 'ok' END AS status FROM pair_seen""",
+    "pair_gate": r"""
+        SELECT *, CAST(CASE status WHEN 'error' THEN 2 WHEN 'blocked' THEN 1 ELSE 0 END AS BIGINT) AS exit_code FROM (
+          SELECT repo, base_rev, head_rev, base_listed, head_listed, n_findings, destructive, orphaned, needs_destroy, needs_inactive,
+                 CASE WHEN NOT has_base THEN 'error' WHEN n_findings = 0 THEN 'clean' WHEN needs_destroy OR needs_inactive THEN 'blocked'
+                      ELSE 'accepted' END AS status
+          FROM (SELECT repo, base_rev, head_rev, has_base, base_listed, head_listed,
+                       CASE WHEN has_base THEN coalesce(n, 0) END AS n_findings, CASE WHEN has_base THEN coalesce(d, FALSE) END AS destructive,
+                       CASE WHEN has_base THEN coalesce(o, FALSE) END AS orphaned,
+                       CASE WHEN has_base THEN coalesce(d, FALSE) AND (repo, 'allow-destroy') NOT IN (SELECT (repo, label) FROM label) END
+                         AS needs_destroy,
+                       CASE WHEN has_base THEN coalesce(o, FALSE) AND (repo, 'allow-inactive') NOT IN (SELECT (repo, label) FROM label) END
+                         AS needs_inactive
+                FROM pair_seen LEFT JOIN pair_sum USING (repo, base_rev, head_rev)))""",
+    "resolved_inventory": r"""
+        SELECT DISTINCT repo, rev, regexp_replace(coalesce(CASE p_size WHEN 1 THEN NULL WHEN 3 THEN '${bundle.target}'
+                 ELSE '${var.catalog_' || lower(p_type) || '}' END, '{catalog}'), '^\$\{(var\.)?(.*)\}$', '{\2}')
+               || '.' || CASE WHEN p_size = 2 THEN 'default' ELSE lower(replace(p_brand, '#', '_')) END
+               || '.' || replace(p_name, ' ', '_') AS name
+        FROM written_file JOIN part ON part = p_partkey WHERE folders = 0""",
+    "files_outside": "SELECT repo, rev, declared_in, written FROM written_file WHERE folders = -1",
     "revision_guard": r"""
         SELECT s_suppkey AS repo, coalesce(bool_or(rev = 'base'), FALSE) AS has_base,
                coalesce(bool_or(rev = 'head'), FALSE) AS has_head,
@@ -245,13 +339,15 @@ ORACLE = {
     "gate_decision": "SELECT *, NOT (needs_destroy OR needs_inactive) AS passes FROM decided",
     "gate_report": "SELECT *, TRUE AS passes FROM decided",
     "gate_flags": r"""
-        SELECT repo, CAST(destructive AS VARCHAR) AS destructive, CAST(orphaned AS VARCHAR) AS orphaned FROM decided""",
+        SELECT s_suppkey AS repo, CAST(coalesce(destructive, FALSE) AS VARCHAR) AS destructive,
+               CAST(coalesce(orphaned, FALSE) AS VARCHAR) AS orphaned
+        FROM supplier LEFT JOIN decided ON decided.repo = s_suppkey""",
     "finding_report": pages(1000),
     "finding_report_pages": pages(50),
     "report_lines": rf"""
         SELECT repo, CAST({SECTION} AS INT) AS section, item,
                item || CASE WHEN detail IS NULL THEN '' ELSE ': ' || detail END AS line FROM finding
-        UNION ALL SELECT s_suppkey, 0, '', 'This change deletes no resource and leaves no table inactive.'
+        UNION ALL SELECT s_suppkey, 0, '', 'Nothing that holds data is lost or left behind.'
         FROM supplier WHERE s_suppkey NOT IN (SELECT repo FROM finding)
         UNION ALL SELECT repo, 4, 'allow-destroy',
                'label allow-destroy: ' || CASE WHEN needs_destroy THEN 'missing' ELSE 'granted' END

@@ -17,12 +17,18 @@ from driftgate.checks.views import (
 )
 from driftgate.functions.names import name_parts, schema_of_name
 from driftgate.model import BASE, HEAD, NOTICE, PIPELINES, RECREATE_FIELDS
-from driftgate.operators import audit, diff, gate, inventory, refs
-from driftgate.plans.destructive import destructive_gate, resource_findings, table_findings
+from driftgate.operators import audit, diff, gate, inventory, refs, revisions
+from driftgate.plans.destructive import destructive_gate, pair_gate, resource_findings, table_findings
 from driftgate.plans.lock import lock_gate
 from driftgate.plans.owners import move_status, owner_gate
 from driftgate.plans.schemas import schema_gate
-from driftgate.sources.inventory import explode_files, inventory_names, resources_by_kind
+from driftgate.sources.inventory import (
+    explode_files,
+    files_outside,
+    inventory_names,
+    resolved_files,
+    resources_by_kind,
+)
 
 LABELS = {"destroy_label": DESTROY, "inactive_label": INACTIVE}
 
@@ -155,6 +161,39 @@ def recreate_fields(v: Views) -> DataFrame:
     return diff.recreate_fields(v.resource_files, keys=("key",))
 
 
+def recreate_typed(v: Views) -> DataFrame:
+    """Changed settings, compared by type and value."""
+    return diff.recreate_fields(v.typed_resources, keys=("key",), typed=True)
+
+
+def pair_removed(v: Views) -> DataFrame:
+    return revisions.pair_removed(v.dated_rows, v.pairs)
+
+
+def pair_drift(v: Views) -> DataFrame:
+    return revisions.pair_drift(v.dated_rows, v.pairs)
+
+
+def pair_guard(v: Views) -> DataFrame:
+    return revisions.pair_guard(v.pairs, v.dated_files, v.dated_inventories)
+
+
+def whole_pair_gate(v: Views) -> DataFrame:
+    """Every pair of revisions: resources, tables, labels."""
+    return pair_gate(
+        v.pairs, v.dated_files, v.dated_inventories, v.dated_rows, v.retired, v.dated_resources, gate.label_set(v.labels), **LABELS
+    )
+
+
+def resolved_inventory(v: Views) -> DataFrame:
+    """Names declared in files that pipelines load by relative paths."""
+    return inventory.declared_inventory(resolved_files(v.relative_files), v.code_calls, on=("path",))
+
+
+def outside_files(v: Views) -> DataFrame:
+    return files_outside(v.relative_files)
+
+
 def revision_guard(v: Views) -> DataFrame:
     return diff.revision_guard(v.repos, v.inventories)
 
@@ -176,7 +215,7 @@ def gate_report(v: Views) -> DataFrame:
 
 
 def gate_flags(v: Views) -> DataFrame:
-    return gate.flags(gate_decision(v))
+    return gate.flags(v.repos, gate_decision(v))
 
 
 def finding_report(v: Views) -> DataFrame:
@@ -385,7 +424,14 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "resource_removed": resource_removed,
     "resource_removed_by_kind": resource_removed_by_kind,
     "recreate_fields": recreate_fields,
+    "recreate_typed": recreate_typed,
     "revision_guard": revision_guard,
+    "pair_removed": pair_removed,
+    "pair_drift": pair_drift,
+    "pair_guard": pair_guard,
+    "pair_gate": whole_pair_gate,
+    "resolved_inventory": resolved_inventory,
+    "files_outside": outside_files,
     "severity_rollup": severity_rollup,
     "label_set": label_set,
     "gate_decision": gate_decision,

@@ -152,6 +152,83 @@ class Views:
             "kind": F.when(F.col("key") % 4 == 0, JOBS).otherwise(PIPELINES),
         })
 
+    @cached_property
+    def typed_resources(self) -> DataFrame:
+        """Definitions whose settings are JSON texts: numbers, texts and objects in several spellings."""
+        n = F.col("o_orderkey")
+        pick = lambda by, *texts: F.get(F.array(*[F.lit(t) for t in texts]), (by % len(texts)).cast("int"))
+        return self.table("orders").select(
+            self.revision("o_orderdate").alias("rev"),
+            F.col("o_custkey").alias("key"),
+            n.alias("file_order"),
+            pick(n, "1", "1.0", '"1"', "true", '{"a": [1, 2.0], "b": "x.0"}', '{"b": "x.0", "a": [1.0, 2]}').alias("catalog"),
+            pick(n, "[1,2]", "[2, 1]", "null", None).alias("schema"),
+            F.lit('"t"').alias("target"),
+            pick(n, "1e2", "100", "100.50").alias("storage"),
+            F.when(F.col("o_totalprice") > 250000, "true").otherwise('"true"').alias("serverless"),
+        )
+
+    # Revisions by year ---------------------------------------------------------------------------
+
+    @staticmethod
+    def year(date: str) -> Column:
+        return F.concat(F.lit("y"), F.year(date))
+
+    @cached_property
+    def dated_files(self) -> DataFrame:
+        return self.table("lineitem").select(
+            F.col("l_suppkey").alias("repo"), self.year("l_shipdate").alias("rev"), F.col("l_partkey").alias("path")
+        )
+
+    @cached_property
+    def dated_rows(self) -> DataFrame:
+        return declared_names(self.dated_files, self.calls, on=("path",))
+
+    @cached_property
+    def dated_inventories(self) -> DataFrame:
+        return self.dated_rows.filter(F.col("name").contains(".brand_7.")).select("repo", "rev")
+
+    @cached_property
+    def dated_resources(self) -> DataFrame:
+        return self.resource_files.drop("rev").join(
+            self.table("orders").select(F.col("o_orderkey").alias("file_order"), self.year("o_orderdate").alias("rev")), "file_order"
+        ).withColumns({
+            "repo": F.col("key") % 10,
+            "kind": F.when(F.col("key") % 4 == 0, JOBS).otherwise(PIPELINES),
+        })
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Every repository has a base of its own, some a base that can't be read, and some a second pair."""
+        nation = F.col("s_nationkey")
+        first = F.struct(
+            F.when(nation % 7 == 0, "lost").otherwise(F.concat(F.lit("y"), F.lit(1993) + nation % 4)).alias("base_rev"),
+            F.lit("y1997").alias("head_rev"),
+        )
+        second = F.struct(F.lit("y1994").alias("base_rev"), F.lit("y1995").alias("head_rev"))
+        return self.repos.select("repo", F.inline(F.array_compact(F.array(first, F.when(F.col("repo") % 3 == 0, second)))))
+
+    # Paths ---------------------------------------------------------------------------------------
+
+    @cached_property
+    def relative_files(self) -> DataFrame:
+        """Files as declarations write them: relative to a declaring file in one of three folders."""
+        name = F.concat(F.lit("pipelines/"), F.col("l_partkey"), F.lit(".py"))
+        place, case = F.col("l_linenumber") % 3, F.col("l_orderkey") % 5
+        return self.table("lineitem").select(
+            F.col("l_suppkey").alias("repo"),
+            self.revision("l_shipdate").alias("rev"),
+            F.when(place == 0, "resources/p.yml").when(place == 1, "resources/more/p.yml").otherwise("p.yml").alias("declared_in"),
+            F.when(case == 0, F.concat(F.lit("../"), name)).when(case == 1, F.concat(F.lit("./x/../../."), F.lit("/"), name))
+            .when(case == 2, F.concat(F.lit("../..//"), name)).when(case == 3, name)
+            .otherwise(F.concat(F.lit("/"), name)).alias("path"),
+        )
+
+    @cached_property
+    def code_calls(self) -> DataFrame:
+        """The calls with the path of their file from the top of the repository."""
+        return self.calls.withColumn("path", F.concat(F.lit("pipelines/"), F.col("path"), F.lit(".py")))
+
     # Findings and labels -----------------------------------------------------------------------
 
     @cached_property

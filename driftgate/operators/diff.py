@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgate.functions.values import canonical_value
 from driftgate.model import BASE, DESTRUCTIVE, HEAD, NOTICE, ORPHAN, PIPELINES, RECREATE_FIELDS, require
 
 
@@ -76,13 +77,17 @@ def definitions(
     )
 
 
-def field_changes(fields: tuple[str, ...] = RECREATE_FIELDS) -> Column:
-    """Array of (field, old_value, new_value) that differ. Null and absent are the same."""
+def field_changes(fields: tuple[str, ...] = RECREATE_FIELDS, typed: bool = False) -> Column:
+    """Array of (field, old_value, new_value) that differ. Null and absent are the same.
+
+    `typed`: values are JSON texts and are compared by type and value, not by spelling.
+    """
+    value = canonical_value if typed else lambda v: v
     values = [
         F.struct(
             F.lit(f).alias("field"),
-            F.col("old")[f].alias("old_value"),
-            F.col("new")[f].alias("new_value"),
+            value(F.col("old")[f]).alias("old_value"),
+            value(F.col("new")[f]).alias("new_value"),
         )
         for f in fields
     ]
@@ -95,15 +100,17 @@ def recreate_fields(
     fields: tuple[str, ...] = RECREATE_FIELDS,
     base: str = BASE,
     head: str = HEAD,
+    typed: bool = False,
 ) -> DataFrame:
     """One row per changed field of each resource that both revisions have.
 
-    Picking the last definition and comparing the revisions happen in the same aggregate.
+    Picking the last definition and comparing the revisions happen in the same aggregate. `typed`: values are JSON texts,
+    see `canonical_value`; only the last definitions are parsed.
     """
     both = definitions(resources, keys, fields, base, head).filter(
         F.col("old").isNotNull() & F.col("new").isNotNull()
     )
-    return both.select(*keys, F.inline(field_changes(fields)))
+    return both.select(*keys, F.inline(field_changes(fields, typed)))
 
 
 def removed_classified(removed: DataFrame, retired: DataFrame) -> DataFrame:
@@ -119,8 +126,7 @@ def removed_classified(removed: DataFrame, retired: DataFrame) -> DataFrame:
         .withColumn("is_retired", F.lit(True))
     )
     return removed.join(reasons, ["repo", "name"], "left").select(
-        "repo",
-        "name",
+        *removed.columns,
         F.when(F.col("is_retired"), DESTRUCTIVE).otherwise(ORPHAN).alias("severity"),
         "reason",
     )

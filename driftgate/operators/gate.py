@@ -12,7 +12,7 @@ from driftgate.operators.ranking import number_rows
 CLEAN_SECTION = 0
 SECTIONS = ((1, DESTRUCTIVE), (2, ORPHAN), (3, NOTICE))
 UNLOCK_SECTION = 4
-CLEAN_LINE = "This change deletes no resource and leaves no table inactive."
+CLEAN_LINE = "Nothing that holds data is lost or left behind."
 
 
 def severity_rollup(findings: DataFrame) -> DataFrame:
@@ -24,11 +24,11 @@ def severity_rollup(findings: DataFrame) -> DataFrame:
     )
 
 
-def any_flags(findings: DataFrame) -> DataFrame:
-    """For each repository, whether it has any destructive and any orphan finding."""
+def any_flags(findings: DataFrame, by: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """For each repository (or pair of its revisions), whether it has any destructive and any orphan finding."""
     return (
-        require(findings, "repo", "severity")
-        .groupBy("repo")
+        require(findings, *by, "severity")
+        .groupBy(*by)
         .agg(
             F.bool_or(F.col("severity") == DESTRUCTIVE).alias("destructive"),
             F.bool_or(F.col("severity") == ORPHAN).alias("orphaned"),
@@ -36,13 +36,13 @@ def any_flags(findings: DataFrame) -> DataFrame:
     )
 
 
-def flags(gate: DataFrame) -> DataFrame:
-    """The two outputs that later steps read, as the texts `true` and `false`."""
-    return gate.select(
-        "repo",
-        F.col("destructive").cast("string").alias("destructive"),
-        F.col("orphaned").cast("string").alias("orphaned"),
-    )
+def flags(repos: DataFrame, gate: DataFrame) -> DataFrame:
+    """The two outputs that later steps read, as the texts `true` and `false`, for every known repository.
+
+    One without findings has both, as `false`: a step that reads them must not meet a gap.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("string").alias(c)
+    return require(repos, "repo").select("repo").join(gate, "repo", "left").select("repo", text("destructive"), text("orphaned"))
 
 
 def label_set(labels: DataFrame) -> DataFrame:
@@ -62,8 +62,9 @@ def gate_decision(
     mode: str = "pr",
     destroy_label: str = DESTROY_LABEL,
     inactive_label: str = INACTIVE_LABEL,
+    by: tuple[str, ...] = ("repo",),
 ) -> DataFrame:
-    """Whether the granted labels cover the findings of each repository.
+    """Whether the granted labels cover the findings of each repository, or of each pair of its revisions (`by`).
 
     `labels` has one row (repo, label) per label. Each family of findings needs its own label, notices need
     none, and mode `report` never blocks.
@@ -81,10 +82,10 @@ def gate_decision(
     )
     lacks = lambda flag, may: F.col(flag) & ~F.coalesce(may, F.lit(False))
     decided = (
-        any_flags(findings)
+        any_flags(findings, by)
         .join(granted, "repo", "left")
         .select(
-            "repo",
+            *by,
             "destructive",
             "orphaned",
             lacks("destructive", "may_destroy").alias("needs_destroy"),
@@ -106,19 +107,26 @@ def section_of(severity: Column) -> Column:
 def finding_report(findings: DataFrame, page_lines: int = 1000) -> DataFrame:
     """The findings of each repository and severity as text, in pages of at most `page_lines` lines.
 
-    Items are in order inside a page and across pages, and none is left out. Pages are what keeps a
-    repository with very many findings from becoming one value in one task.
+    A line is the item with its detail. Lines are in order inside a page and across pages, and none is left out: a finding
+    without an item is a line too, before the others. Every page tells how many findings the group has on all pages. Pages
+    are what keeps a repository with very many findings from becoming one value in one task.
     """
-    items = require(findings, "repo", "severity", "item").select("repo", "severity", "item")
-    numbered = number_rows(items, ("repo", "severity"), ("item",), "n")
+    detail = F.col("detail") if "detail" in findings.columns else F.lit(None).cast("string")
+    item = F.coalesce("item", F.lit(""))
+    items = require(findings, "repo", "severity", "item").select(
+        "repo", "severity", item.alias("item"), F.concat_ws(": ", item, detail).alias("line")
+    )
+    numbered = number_rows(items, ("repo", "severity"), ("item", "line"), "n")
     page = F.floor((F.col("n") - 1) / page_lines).cast("bigint")
-    return (
+    lines = F.sort_array(F.collect_list(F.struct("item", "line")))
+    pages = (
         numbered.withColumn("page", page)
         .groupBy("repo", "severity", "page")
-        .agg(
-            F.array_join(F.sort_array(F.collect_list("item")), "\n").alias("detail"),
-        )
-        .select("repo", "severity", section_of(F.col("severity")).alias("section"), "page", "detail")
+        .agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("detail"))
+    )
+    totals = severity_rollup(items).withColumnRenamed("n", "total")
+    return pages.join(totals, ["repo", "severity"]).select(
+        "repo", "severity", section_of(F.col("severity")).alias("section"), "page", "total", "detail"
     )
 
 
@@ -139,8 +147,8 @@ def report_lines(
     body = findings.select(
         "repo",
         section_of(F.col("severity")).alias("section"),
-        "item",
-        F.concat_ws(": ", "item", "detail").alias("line"),
+        F.coalesce("item", F.lit("")).alias("item"),
+        F.concat_ws(": ", F.coalesce("item", F.lit("")), "detail").alias("line"),
     )
     gate = gate_decision(findings, labels, mode, destroy_label, inactive_label)
 

@@ -24,16 +24,22 @@ from driftgate.operators.diff import (
     revision_guard,
 )
 from driftgate.operators.gate import gate_decision
+from driftgate.operators.revisions import PAIR, between, pair_guard, pair_table_findings
 
-RENAME_REMEDY = "If this is a rename, bind the new key to the existing pipeline instead of deleting it."
-MOVE_REMEDY = "To move tables without losing them, reassign them to the new pipeline first."
-DROP_REMEDY = "If this is meant, grant the label that accepts destruction."
-KEEP_REMEDY = "To keep them as they are, grant the label for inactive tables; to delete them, drop them."
+RENAME_REMEDY = "A pipeline that only gets a new key keeps its data if the new key is tied to the old pipeline."
+MOVE_REMEDY = "Hand the tables over to another pipeline before this setting changes."
+DROP_REMEDY = "Grant the label for destruction, or take the retirement back."
+KEEP_REMEDY = "Grant the label for inactive tables to leave the data in place; only a drop deletes it."
 LOCK_REMEDY = "Generate the inventory, so that removed tables can be seen."
 
 
-def resource_findings(resources: DataFrame, base: str = BASE, head: str = HEAD) -> DataFrame:
-    """Removed resources and recreated pipelines, from a single aggregate over the definitions."""
+def resource_findings(
+    resources: DataFrame, base: str = BASE, head: str = HEAD, by: tuple[str, ...] = ("repo",), typed: bool = False
+) -> DataFrame:
+    """Removed resources and recreated pipelines, from a single aggregate over the definitions.
+
+    `by` is what is compared with itself: a repository, or a pair of its revisions. `typed`: settings are JSON texts.
+    """
     kind, key = F.col("kind"), F.col("key").cast("string")
 
     def finding(severity, title, item, detail, remedy):
@@ -50,7 +56,7 @@ def resource_findings(resources: DataFrame, base: str = BASE, head: str = HEAD)
     )
     text = lambda v: F.coalesce(v, F.lit("None"))
     changed = F.transform(
-        field_changes(),
+        field_changes(typed=typed),
         lambda c: finding(
             F.lit(DESTRUCTIVE),
             F.lit("resource recreated"),
@@ -61,10 +67,10 @@ def resource_findings(resources: DataFrame, base: str = BASE, head: str = HEAD)
     )
     found = F.when(F.col("new").isNull(), F.array(removed)).when(kind == PIPELINES, changed)
     return (
-        definitions(resources, ("repo", "kind", "key"), base=base, head=head)
+        definitions(resources, (*by, "kind", "key"), base=base, head=head)
         .filter(F.col("old").isNotNull())
-        .select("repo", F.inline(found))
-        .select("repo", "severity", F.col("kind"), "item", "detail", F.coalesce("remedy", none).alias("remedy"))
+        .select(*by, F.inline(found))
+        .select(*by, "severity", F.col("kind"), "item", "detail", F.coalesce("remedy", none).alias("remedy"))
     )
 
 
@@ -134,3 +140,51 @@ def destructive_gate(
         ])
         .withColumn("exit_code", codes.cast("bigint"))
     )
+
+
+def pair_gate(
+    pairs: DataFrame,
+    revisions: DataFrame,
+    inventories: DataFrame,
+    named: DataFrame,
+    retired: DataFrame,
+    resources: DataFrame,
+    labels: DataFrame,
+    mode: str = "pr",
+    destroy_label: str = DESTROY_LABEL,
+    inactive_label: str = INACTIVE_LABEL,
+) -> DataFrame:
+    """The verdict of every pair of revisions: what was seen, what was found, and whether the labels cover it.
+
+    Status is `error` if the base can't be read; then the flags are null, because nothing was compared. A base that can be
+    read but has no inventory is compared as an empty one, and `base_listed` tells the two apart.
+    """
+    guard = pair_guard(pairs, revisions, inventories)
+    readable = guard.filter("has_base").select(*PAIR)
+    found = resource_findings(between(resources, readable), by=PAIR).drop("remedy").unionByName(
+        pair_table_findings(named, retired, guard)
+    )
+    decided = gate_decision(found, labels, mode, destroy_label, inactive_label, by=PAIR)
+    counts = found.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_findings"))
+    status = (
+        F.when(~F.col("has_base"), "error")
+        .when(F.col("passes").isNull(), "clean")
+        .when(F.col("passes"), "accepted")
+        .otherwise("blocked")
+    )
+    codes = F.when(F.col("status") == "error", 2).when(F.col("status") == "blocked", 1).otherwise(0)
+    flag = lambda c: F.when(F.col("has_base"), F.coalesce(c, F.lit(False))).alias(c)
+    return (
+        guard.drop("status")
+        .join(decided, list(PAIR), "left")
+        .join(counts, list(PAIR), "left")
+        .select(
+            *PAIR,
+            "base_listed",
+            "head_listed",
+            F.when(F.col("has_base"), F.coalesce("n_findings", F.lit(0))).alias("n_findings"),
+            *[flag(c) for c in ("destructive", "orphaned", "needs_destroy", "needs_inactive")],
+            status.alias("status"),
+        )
+        .withColumn("exit_code", codes.cast("bigint"))
+    )

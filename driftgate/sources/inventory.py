@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgate.functions.paths import resolved_path
 from driftgate.functions.text import LINE_BREAK, strip
 from driftgate.model import BASE, HEAD, require
 
@@ -73,3 +74,22 @@ def explode_files(pipelines: DataFrame, path: Column | None = None) -> DataFrame
         .select(*others, entry.alias("path"))
         .filter(F.col("path").isNotNull() & (F.col("path") != ""))
     )
+
+
+def resolved_files(files: DataFrame, declared_in: str = "declared_in") -> DataFrame:
+    """Files with `path` as seen from the top of the repository; column `declared_in` names the file that declares each.
+
+    Declarations write paths relative to themselves, so the same file may come as `../a.py` and `a.py`. A path that leads
+    out of the repository can't be one of its files; `files_outside` lists those, so they are dropped here and not lost.
+    """
+    return with_resolved(files, declared_in).filter(F.col("path").isNotNull()).drop("written")
+
+
+def files_outside(files: DataFrame, declared_in: str = "declared_in") -> DataFrame:
+    """The declarations whose path leads out of the repository, with the path as `written`."""
+    return with_resolved(files, declared_in).filter(F.col("path").isNull() & F.col("written").isNotNull()).drop("path")
+
+
+def with_resolved(files: DataFrame, declared_in: str) -> DataFrame:
+    others = [c for c in require(files, "path", declared_in).columns if c != "path"]
+    return files.select(*others, F.col("path").alias("written"), resolved_path(F.col(declared_in), F.col("path")).alias("path"))

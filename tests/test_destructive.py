@@ -119,7 +119,7 @@ def test_a_removed_pipeline_is_destructive(change):
     change.head = [r for r in change.head if r[0] == "jobs"]
     found = change.findings().first()
     assert (found["severity"], found["item"]) == ("DESTRUCTIVE", "silver_sales")
-    assert "bind" in found["remedy"]
+    assert "new key" in found["remedy"]
 
 
 def test_a_removed_job_is_a_notice_and_passes(change):
@@ -158,7 +158,8 @@ def test_report_mode_never_blocks_and_shows_the_flags(change):
 
 def test_flags_are_texts(spark):
     decided = spark.createDataFrame([(1, True, False)], "repo bigint, destructive boolean, orphaned boolean")
-    assert rows(gate.flags(decided)) == [(1, "true", "false")]
+    known = spark.createDataFrame([(1,), (2,)], "repo bigint")
+    assert rows(gate.flags(known, decided)) == [(1, "true", "false"), (2, "false", "false")]
 
 
 def test_an_unreadable_base_is_an_error(change):

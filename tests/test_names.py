@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftgate.functions import names
-from driftgate.functions.text import quoted, replacement, strip
+from driftgate.functions.text import ESCAPE, MARK, escaped, strip, unescaped
 
 from .conftest import rows
 
@@ -73,7 +73,9 @@ def test_strip_removes_every_kind_of_blank(spark, texts):
     assert values(spark, texts, strip) == [t.strip() for t in texts]
 
 
-def test_quoted_text_matches_and_replaces_literally(spark):
-    df = spark.createDataFrame([(r"a.b$1\Ex",), ("axb$1",)], "t string")
-    old, new = F.lit(r"a.b$1\E"), F.lit(r"$0\n")
-    assert rows(df.select(F.regexp_replace("t", quoted(old), replacement(new)))) == [(r"$0\nx",), ("axb$1",)]
+def test_escaped_text_holds_no_mark_and_comes_back(spark):
+    parts = ["a", MARK, ESCAPE, "\x03", "\x04", ESCAPE + "\x04", "é"]
+    texts = ["".join(parts[(i * 5 + j * i) % len(parts)] for j in range(6)) for i in range(60)]
+    hidden = values(spark, texts, escaped)
+    assert not any(MARK in t for t in hidden)
+    assert values(spark, hidden, unescaped) == texts
