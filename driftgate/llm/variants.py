@@ -120,24 +120,29 @@ def near_pairs(words: DataFrame, parts: int | None = None) -> DataFrame:
     """Every pair of near words: a, b, both structs of n and word.
 
     `words` has columns word and n; a word occurs once. A letter may be replaced by one of another part (a word loses a
-    letter of one part and gains one of the other) or of its own part, and a letter may be taken out: three joins, each
-    with exact signatures, and a pair comes from exactly one of them.
+    letter of one part and gains one of the other) or of its own part, or be taken out. Each case has its own signatures,
+    and a pair comes from exactly one of them. All go through one join; the last bit of a signature is set where both
+    sides have the same ones, so that one order of a pair is enough.
     """
     parts = parts or parts_for(words.count())
     vectors = durable(dealt(words, parts))
     a, b = F.col("a.word"), F.col("b.word")
-    verified = F.levenshtein(a, b, 1) == 1
+
+    def tagged(signatures: list[Column], number: int, twin: bool = False) -> list[Column]:
+        return [F.shiftleft(F.xxhash64(F.lit(number), s), 1).bitwiseOR(F.lit(int(twin))) for s in signatures]
+
+    within = tagged(one_part(parts), 1, True)
+    left = signed(vectors, [*tagged(two_parts(parts), 2), *within, *tagged(one_part(parts), 3)], "a")
+    right = signed(vectors, [*tagged(two_parts(parts, 1), 2), *within, *tagged(one_part(parts, 1), 3)], "b")
+    ordered = (F.col("signature").bitwiseAND(F.lit(1)) == 0) | (a < b)
     # A replaced letter stands in one half of the word and leaves the other as it is: cheaper to see than a distance.
     half = (F.length(a) / 2).cast("int")
     same_half = (F.substring(a, F.lit(1), half) == F.substring(b, F.lit(1), half)) | (
         F.substring(a, half + 1, F.length(a)) == F.substring(b, half + 1, F.length(b))
     )
-    one, two = one_part(parts), two_parts(parts)
-    across = signed(vectors, two, "a").join(signed(vectors, two_parts(parts, 1), "b"), "signature")
-    within = signed(vectors, one, "a").join(signed(vectors, one, "b"), "signature").filter(a < b)
-    longer = signed(vectors, one, "a").join(signed(vectors, one_part(parts, 1), "b"), "signature")
-    replaced = across.unionAll(within).filter(same_half)
-    return replaced.unionAll(longer).filter(verified).select("a", "b")
+    likely = (F.length(a) != F.length(b)) | same_half
+    joined = left.join(right, "signature").filter(ordered & likely & (F.levenshtein(a, b, 1) == 1))
+    return joined.select("a", "b")
 
 
 def near_words(pairs: DataFrame) -> DataFrame:
