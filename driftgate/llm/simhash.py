@@ -8,8 +8,9 @@ very many fingerprints are dealt into chunks, and each pair of chunks is joined
 in one task. What a task reports is a spanning forest of the links that it found, never all pairs of a group.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other. Equal fingerprints are one
-leaf. A document without an id links others but gives no component id; a component without any id has a null one. Extra
-columns pass through `deduplicate`. An empty table gives an empty result.
+leaf. A document without an id links others but gives no component id; a component without any id has a null one. Texts
+of any length are read whole. Extra columns pass through `deduplicate`, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.llm.common import durable, map_batches
+from driftgate.llm.common import durable, map_batches, text_or_empty
 from driftgate.llm.components import components
 
 WORDS = 3
@@ -56,12 +57,17 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprint_batch(batch: dict[str, list]) -> dict[str, list]:
-    return {"doc_id": batch["doc_id"], "fp": [fingerprint(t) for t in batch["text"]]}
+    return {"doc_id": batch["doc_id"], "digest": batch["digest"], "fp": [fingerprint(t) for t in batch["text"]]}
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed)."""
-    return map_batches(docs.select("doc_id", "text"), fingerprint_batch, "doc_id bigint, fp bigint")
+    """doc_id, digest (MD5 of the text, which tells rows apart that share an id), fp (signed)."""
+    rows = docs.select("doc_id", "text", text_digest().alias("digest"))
+    return map_batches(rows, fingerprint_batch, "doc_id bigint, digest string, fp bigint")
+
+
+def text_digest() -> Column:
+    return F.md5(text_or_empty().cast("binary"))
 
 
 def boundary(keys: np.ndarray, low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
@@ -219,22 +225,40 @@ def near_links(leaves: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.mapInArrow(link_partition, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id."""
+def grouped(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, digest, fp, component_id, and `best`, the doc_id and digest that stay of its component."""
     prints = durable(fingerprints(docs))
-    leaves = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    leaves = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(row).alias("best")))
     roots = components(near_links(leaves.select("fp"), chunk))
     rooted = leaves.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", "best", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owners = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(owners, "fp").select(
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("best").alias("best"))
+    owners = rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "best")
+    return prints.join(owners, "fp")
+
+
+def near_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id."""
+    return grouped(docs, chunk).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns. Rows without an id stay."""
-    dropped = near_groups(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.distinct(), F.col("doc_id") == F.col("_dropped"), "left_anti")
+def deduplicate(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id, of several the one with the smallest digest.
+
+    A document without an id stays only where no other of its component has one. Rows are decided by id and text, so rows
+    that only share an id are not dropped together. The row itself travels as one value, so that none of its columns can
+    clash with those used here.
+    """
+    dropped = (
+        grouped(docs, chunk)
+        .filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))))
+        .select(F.col("doc_id").alias("_dropped"), F.col("digest").alias("_dropped_digest"))
+        .distinct()
+    )
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), text_digest().alias("_digest"))
+    gone = F.col("_id").eqNullSafe(F.col("_dropped")) & (F.col("_digest") == F.col("_dropped_digest"))
+    return rows.join(dropped, gone, "left_anti").select("_row.*")

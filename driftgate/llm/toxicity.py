@@ -13,8 +13,8 @@ train the field, in segments of `SEGMENT` tokens. The calibration weighs both la
 Scoring reads every whole text; long stretches without evidence, inside which the messages have reached their fixed
 point to double precision, are computed once. A score is a function of the text and of the model alone.
 
-Null texts count as empty and get the score of a text without toxic tokens. Null labels and labels without a document
-are not used. Without labels of both kinds every score is the share of toxic labels (0 without any). Repeated rows get
+Null texts count as empty and get the score of a text without toxic tokens. Null labels are not used; labels without a
+document only count towards how common a label is; a document with both labels is an example of both. Without labels of both kinds every score is the share of toxic labels (0 without any). Repeated rows get
 equal scores. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -24,9 +24,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -302,7 +304,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, chars: i
     # At most 2 * per_label ids, so this side is small whatever the input.
     ids = F.broadcast(chosen[0].unionAll(chosen[1]))
     texts = docs.select("doc_id", text_or_empty().alias("text")).filter(F.length("text") <= chars).join(ids, "doc_id")
-    rows = sorted(((zlib.crc32(str(r["doc_id"]).encode()), r["text"], r["toxic"]) for r in texts.limit(2 * per_label).collect()))
+    texts = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "toxic").limit(2 * per_label)
+    rows = sorted(((zlib.crc32(str(r["doc_id"]).encode()), r["text"], r["toxic"]) for r in texts.collect()))
     return [t for _, t, _ in rows], np.array([y for _, _, y in rows], int), totals
 
 
@@ -313,6 +316,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    toxic = score_documents(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(toxic.distinct(), F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    """The documents that are not predicted toxic, with all their columns, whatever their names.
+
+    Every row is decided by its own text, where it lies: nothing is joined or shuffled.
+    """
+    scorer = Scorer(docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                predicted = scorer({"doc_id": batch.column("doc_id").to_pylist(), "text": batch.column("text").to_pylist()})
+                yield batch.filter(pa.array([p == 0 for p in predicted["predicted"]], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
