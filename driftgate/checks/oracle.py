@@ -208,6 +208,9 @@ VIEWS = {
                unnest(regexp_extract_all(l, '^\s*github_org\s*=\s*"{ORG}"', 1)), NULL FROM cfg_line
         UNION ALL SELECT page_id, repo, line, 'tooling', 'tooling declaration',
                unnest(regexp_extract_all(l, '^\s*tooling_org\s*=\s*"{ORG}"', 1)), NULL FROM cfg_line""",
+    "held_name": r"""
+        SELECT repo, name FROM named JOIN supplier ON s_suppkey = repo
+        WHERE (s_nationkey % 5 IN (3, 4) AND rev = 'base') OR (s_nationkey % 5 = 1 AND rev = 'head')""",
     "resource_found": r"""
         SELECT repo, CASE kind WHEN 'pipelines' THEN 'DESTRUCTIVE' ELSE 'NOTICE' END AS severity,
                'resource removed' AS kind, CAST(key AS VARCHAR) AS item,
@@ -458,8 +461,33 @@ ORACLE = {
     "table_findings": "SELECT repo, severity, kind, item, detail FROM table_found",
     "destructive_gate": verdict("pr"),
     "destructive_gate_report": verdict("report"),
+    "incomplete_files": r"""
+        SELECT DISTINCT l_suppkey AS repo, l_partkey AS path FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+        WHERE l_partkey % 7 = 0 AND s_nationkey >= 8 AND l_shipdate >= TIMESTAMP '1998-01-01'
+          AND l_partkey IN (SELECT p_partkey FROM part)""",
+    "stored_names": "SELECT repo, 'base' AS rev, name FROM held_name",
+    "stored_manifest": r"""
+        SELECT s_suppkey AS repo, 'base' AS rev, (SELECT count(*) FROM held_name h WHERE h.repo = s_suppkey) AS n_names
+        FROM supplier WHERE s_nationkey % 5 <> 0""",
+    "stored_lock_gate": r"""
+        SELECT repo, n_tables, n_missing, n_extra, status,
+               CAST(CASE status WHEN 'up to date' THEN 0 ELSE 1 END AS BIGINT) AS exit_code
+        FROM (SELECT *, CASE WHEN n % 5 = 0 THEN 'absent' WHEN n_missing + n_extra > 0 THEN 'outdated' ELSE 'up to date' END AS status
+              FROM (SELECT s_suppkey AS repo, any_value(s_nationkey) AS n, count(h.name) AS n_tables,
+                           count(*) FILTER (WHERE b.name IS NULL AND h.name IS NOT NULL) AS n_missing,
+                           count(*) FILTER (WHERE h.name IS NULL AND b.name IS NOT NULL) AS n_extra
+                    FROM supplier LEFT JOIN (held_name b FULL JOIN (SELECT repo, name FROM named WHERE rev = 'head') h USING (repo, name))
+                      ON repo = s_suppkey GROUP BY s_suppkey))""",
+    "given_scope": r"""
+        SELECT DISTINCT l_suppkey AS repo, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'base' ELSE 'head' END AS rev,
+               ['{main}', 'None', '{catalog}', '{catalog}'][l_orderkey % 4 + 1] || '.'
+               || ['default', 'default', 'sales', 'None'][l_orderkey % 4 + 1] || '.' || replace(p_name, ' ', '_') AS name
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "keyword_writers": "SELECT event_id, repo, verb, dest, dynamic OR event_id % 3 = 0 AS dynamic FROM saved",
     "lock_gate": r"""
         SELECT repo, n_tables, n_missing, n_extra, status,
+               (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+                WHERE l_suppkey = repo AND l_partkey % 7 = 0 AND s_nationkey >= 8 AND l_shipdate >= TIMESTAMP '1998-01-01') AS n_incomplete,
                CAST(CASE status WHEN 'up to date' THEN 0 ELSE 1 END AS BIGINT) AS exit_code
         FROM (SELECT *, CASE WHEN NOT stored THEN 'absent' WHEN n_missing + n_extra > 0 THEN 'outdated'
                              ELSE 'up to date' END AS status

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ from driftgate.functions.names import name_parts, schema_of_name
 from driftgate.model import BASE, HEAD, NOTICE, PIPELINES, RECREATE_FIELDS
 from driftgate.operators import audit, diff, gate, inventory, refs, revisions
 from driftgate.plans.destructive import destructive_gate, pair_gate, resource_findings, table_findings
-from driftgate.plans.lock import lock_gate
+from driftgate.plans.lock import lock_gate, stored_lock_gate
 from driftgate.plans.owners import move_status, owner_gate
 from driftgate.plans.schemas import schema_gate
+from driftgate.session import shared_folder
+from driftgate.sources import store
 from driftgate.sources.inventory import (
     explode_files,
     files_outside,
@@ -394,8 +397,46 @@ def whole_gate_report(v: Views) -> DataFrame:
     return whole_gate(v, "report")
 
 
+def incomplete_files(v: Views) -> DataFrame:
+    return inventory.incomplete_files(v.files, v.mixed_calls, v.providers, on=("path",))
+
+
 def whole_lock_gate(v: Views) -> DataFrame:
-    return lock_gate(v.repos, v.inventories, v.declared_rows, stored=BASE, expected=HEAD)
+    return lock_gate(v.repos, v.inventories, v.declared_rows, stored=BASE, expected=HEAD, incomplete=incomplete_files(v))
+
+
+def published(v: Views) -> str:
+    """Store the base inventories, of some repositories those of head in their place, and of some none at all."""
+    path = f"{shared_folder(v.spark)}/inventories-{uuid.uuid4().hex}"
+    scope = v.repos.withColumn("rev", F.lit(BASE))
+    store.publish(v.declared_rows.filter(F.col("rev") == BASE), scope.filter("s_nationkey % 5 != 0"), path)
+    changed = v.declared_rows.filter(F.col("rev") == HEAD).withColumn("rev", F.lit(BASE))
+    store.publish(changed, scope.filter("s_nationkey % 5 = 1"), path)
+    store.publish(changed.limit(0), scope.filter("s_nationkey % 5 = 2"), path)
+    return path
+
+
+def stored_names(v: Views) -> DataFrame:
+    """What is read back after two replacements."""
+    return store.stored_names(v.spark, published(v))
+
+
+def stored_manifest(v: Views) -> DataFrame:
+    """Which inventories there are, empty ones among them."""
+    return store.manifest(v.spark, published(v)).select("repo", "rev", "n_names")
+
+
+def whole_stored_lock_gate(v: Views) -> DataFrame:
+    return stored_lock_gate(v.repos, v.declared_rows, published(v))
+
+
+def given_scope(v: Views) -> DataFrame:
+    """Names under scopes that are absent, null, or written."""
+    return inventory.declared_inventory(v.given_files, v.calls.drop("catalog_ref", "schema_ref"), on=("path",))
+
+
+def keyword_writers(v: Views) -> DataFrame:
+    return audit.writer_calls(v.keyword_calls).select("event_id", "repo", "verb", "dest", "dynamic")
 
 
 def whole_schema_gate(v: Views) -> DataFrame:
@@ -478,6 +519,12 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "destructive_gate": whole_gate_pr,
     "destructive_gate_report": whole_gate_report,
     "lock_gate": whole_lock_gate,
+    "stored_lock_gate": whole_stored_lock_gate,
+    "stored_names": stored_names,
+    "stored_manifest": stored_manifest,
+    "incomplete_files": incomplete_files,
+    "given_scope": given_scope,
+    "keyword_writers": keyword_writers,
     "schema_gate": whole_schema_gate,
     "owner_gate": whole_owner_gate,
     "move_status": whole_move_status,

@@ -88,6 +88,32 @@ class Views:
         """Declared names with repeats."""
         return declared_names(self.files, self.calls, on=("path",))
 
+    @cached_property
+    def mixed_calls(self) -> DataFrame:
+        """The calls, some of them with a name that is not a literal."""
+        dynamic = F.col("path") % 7 == 0
+        return self.calls.withColumns({
+            "is_dynamic": dynamic, "name_literal": F.when(~dynamic, F.col("name_literal")),
+        })
+
+    @cached_property
+    def providers(self) -> DataFrame:
+        return self.repos.filter(F.col("s_nationkey") < 8).select("repo")
+
+    @cached_property
+    def given_files(self) -> DataFrame:
+        """Files of pipelines whose catalog or schema key is absent, written as null, or written."""
+        case = F.col("l_orderkey") % 4
+        return self.table("lineitem").select(
+            F.col("l_suppkey").alias("repo"),
+            self.revision("l_shipdate").alias("rev"),
+            F.col("l_partkey").alias("path"),
+            F.when(case == 0, "${var.main}").alias("catalog_ref"),
+            (case <= 1).alias("catalog_given"),
+            F.when(case == 2, " sales ").alias("schema_ref"),
+            (case >= 2).alias("schema_given"),
+        )
+
     @cached_property
     def named(self) -> DataFrame:
         return self.declared_rows.distinct()
@@ -268,6 +294,13 @@ class Views:
         """The statements with the file they stand in."""
         return self.statements.withColumn("path", self.event_path)
 
+    @cached_property
+    def keyword_calls(self) -> DataFrame:
+        """The calls, some of which pass their name by keyword."""
+        return self.event_calls.withColumn(
+            "arg_source", F.when(F.col("event_id") % 3 == 0, "keyword").otherwise(F.col("arg_source"))
+        )
+
     @property
     def event_path(self) -> Column:
         return F.col("event_id") % 2000

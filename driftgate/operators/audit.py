@@ -109,15 +109,20 @@ def statement_writes(statements: DataFrame) -> DataFrame:
 
 
 def writer_calls(calls: DataFrame) -> DataFrame:
-    """Calls that save to a named table, on any receiver."""
+    """Calls that save to a named table, on any receiver.
+
+    Only a literal that is the first positional argument is a known destination (`arg_source`, if the table has it); what is
+    passed by keyword or computed is known only at run time.
+    """
     require(calls, "method", "name_literal", "is_dynamic")
+    by_name = F.coalesce(F.col("arg_source") != "positional", F.lit(True)) if "arg_source" in calls.columns else F.lit(False)
     dropped = ("receiver", "method", "arg_source", "name_literal", "is_dynamic")
     others = [c for c in calls.columns if c not in dropped]
     return calls.filter(F.col("method").isin(*WRITER_METHODS)).select(
         *others,
         F.col("method").alias("verb"),
         clean_destination(F.col("name_literal")).alias("dest"),
-        (F.col("is_dynamic") | F.col("name_literal").isNull()).alias("dynamic"),
+        (F.col("is_dynamic") | F.col("name_literal").isNull() | by_name).alias("dynamic"),
     )
 
 

@@ -12,6 +12,7 @@ from driftgate.model import (
     DECLARING_RECEIVER,
     DEFAULT_CATALOG,
     DEFAULT_SCHEMA,
+    HEAD,
     require,
 )
 
@@ -45,14 +46,40 @@ def dynamic_names(calls: DataFrame, by: tuple[str, ...] = ("repo", "path")) -> D
     )
 
 
+def incomplete_files(
+    files: DataFrame,
+    calls: DataFrame,
+    providers: DataFrame | None = None,
+    rev: str = HEAD,
+    on: tuple[str, ...] = ("repo", "rev", "path"),
+) -> DataFrame:
+    """(repo, path) of the files that some pipeline loads in revision `rev` and that declare a name that is not a literal.
+
+    The inventory of their repositories may lack names. A repository that has a provider takes its names from there, so it
+    lacks none. Declarations are reduced to distinct files before the join, and files to those of the revision.
+    """
+    dynamic = declaration_calls(calls).filter("is_dynamic").select(*on).distinct()
+    loaded = require(files, "repo", "rev", "path").filter(F.col("rev") == rev)
+    found = loaded.join(dynamic, list(on), "left_semi").select("repo", "path").distinct()
+    if providers is None:
+        return found
+    return found.join(require(providers, "repo").select("repo").distinct(), "repo", "left_anti")
+
+
 def with_scope(df: DataFrame) -> DataFrame:
-    """Add the normalised `catalog` and `schema` where `df` holds the raw references."""
+    """Add the normalised `catalog` and `schema` where `df` holds the raw references.
+
+    Columns `catalog_given` and `schema_given`, if there, tell that the key was written: a null that was written is not the
+    default.
+    """
     if "catalog_ref" not in df.columns:
         return df
+    given = lambda c: F.col(c) if c in df.columns else None
+    raw = ("catalog_ref", "schema_ref", "catalog_given", "schema_given")
     return df.select(
-        *[c for c in df.columns if c not in ("catalog_ref", "schema_ref")],
-        normalise_ref(F.col("catalog_ref"), DEFAULT_CATALOG).alias("catalog"),
-        normalise_ref(F.col("schema_ref"), DEFAULT_SCHEMA).alias("schema"),
+        *[c for c in df.columns if c not in raw],
+        normalise_ref(F.col("catalog_ref"), DEFAULT_CATALOG, given("catalog_given")).alias("catalog"),
+        normalise_ref(F.col("schema_ref"), DEFAULT_SCHEMA, given("schema_given")).alias("schema"),
     )
 
 
@@ -66,7 +93,7 @@ def declared_names(
     saves the shuffle of a `distinct`.
     """
     literals = declaration_calls(calls).filter(F.col("name_literal") != "")
-    keep = [c for c in ("catalog_ref", "schema_ref") if c in calls.columns]
+    keep = [c for c in ("catalog_ref", "schema_ref", "catalog_given", "schema_given") if c in calls.columns]
     published = with_scope(files).join(
         with_scope(literals.select(*on, "name_literal", *keep)), list(on)
     )

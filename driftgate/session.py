@@ -33,19 +33,23 @@ def local_session(app: str = "driftgate", cpus: int | str = "*", memory: str = "
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in `spark.checkpoint.dir`.
 
-    The copy is in shared storage, so losing an executor does not change or lose it. The folder is the
-    one the cluster names in `spark.checkpoint.dir`. Only a local session may fall back to a scratch one.
+    Only a session on one machine may do without, and then gets a scratch folder, the same one for its whole life.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="driftgate-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and read it back from there: losing an executor neither changes nor loses it."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="driftgate-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

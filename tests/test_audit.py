@@ -1,7 +1,9 @@
+"""Schemas that a repository may use: audits and gate against a model in plain Python."""
+
+import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from driftgate import model
 from driftgate.functions.text import WRITE_STATEMENT
@@ -10,163 +12,136 @@ from driftgate.plans.schemas import schema_gate
 
 from .conftest import rows
 
-CONFIG = model.SCHEMA_CONFIG_SCHEMA
-CALL = "repo bigint, path string, line bigint, receiver string, method string, arg_source string, name_literal string, is_dynamic boolean"
-
-
-class Repo:
-    def __init__(self, spark):
-        self.spark = spark
-        self.config = (1, ["sales"], None)
-        self.named = ["{catalog_silver}.sales.orders"]
-        self.retired = []
-        self.sql = []
-        self.dynamic_sql = []
-        self.calls = []
-        self.earlier = []
-        self.files = spark.createDataFrame([(1, "head", "f.py"), (1, "base", "dropped.py")], "repo bigint, rev string, path string")
-
-    def declared(self):
-        return audit.declared_union(
-            self.spark.createDataFrame([(1, "head", n) for n in self.named] + [(1, "base", n) for n in self.earlier], model.NAMED_SCHEMA),
-            self.spark.createDataFrame([(1, n, "unused") for n in self.retired], model.RETIRED_SCHEMA))
-
-    def allowed(self):
-        return audit.allowed_schemas(self.spark.createDataFrame([self.config], CONFIG))
-
-    def writes(self):
-        statements = [(1, "f.py", 1, s, False) for s in self.sql] + [(1, "f.py", 2, s, True) for s in self.dynamic_sql]
-        calls = [(1, "f.py", 3, "x", m, "positional", name, name is None) for m, name in self.calls]
-        texts = self.spark.createDataFrame(statements, model.STATEMENTS_SCHEMA)
-        return audit.statement_writes(texts).unionByName(
-            audit.writer_calls(self.spark.createDataFrame(calls, CALL)))
-
-    def gate(self):
-        repos = self.spark.createDataFrame([(1,)], "repo bigint")
-        config = self.spark.createDataFrame([self.config], CONFIG)
-        return schema_gate(repos, config, self.declared(), self.writes(), self.files).first()
-
-    def violations(self):
-        return rows(audit.statement_violations(self.writes(), self.allowed()), "verb", "schema_name")
-
-
-@pytest.fixture
-def repo(spark):
-    return Repo(spark)
-
-
-def verdict(repo):
-    result = repo.gate()
-    return result["status"], result["exit_code"]
-
-
-def test_undeclared_is_skipped_but_an_empty_list_allows_nothing(repo):
-    repo.config = (1, None, None)
-    assert verdict(repo) == ("skipped", 0)
-    repo.config = (1, [], None)
-    assert verdict(repo) == ("outside", 1)
-
-
-def test_inside_is_fine(repo):
-    assert verdict(repo) == ("ok", 0)
-
-
-def test_a_table_in_a_foreign_schema_fails(repo):
-    repo.config = (1, ["my_project"], None)
-    assert verdict(repo) == ("outside", 1)
-    assert rows(audit.outside_schema(repo.declared(), repo.allowed())) == [
-        (1, "{catalog_silver}.sales.orders", "materialize", "sales")]
-
-
-def test_a_foreign_retirement_fails_and_says_so(repo):
-    repo.retired = ["{catalog}.finance.balances", "{catalog_silver}.sales.orders"]
-    assert verdict(repo) == ("outside", 1)
-    assert rows(audit.outside_schema(repo.declared(), repo.allowed()), "name", "origin") == [
-        ("{catalog}.finance.balances", "retire")]
-
-
-def test_a_provided_list_goes_before_the_literal_one(repo):
-    repo.config = (1, ["other"], ["sales", "finance"])
-    assert rows(repo.allowed(), "schema_name") == [("finance",), ("sales",)]
-    assert verdict(repo) == ("ok", 0)
-    repo.config = (1, ["sales"], [])
-    assert verdict(repo) == ("outside", 1)
-
-
-def test_a_malformed_list_is_a_configuration_error(spark):
-    config = spark.createDataFrame([(1, "sales", None)], "repo bigint, literal string, provided array<string>")
-    with pytest.raises(model.ConfigurationError, match="list of strings"):
-        audit.allowed_schemas(config)
-
-
-def test_a_malformed_name_goes_before_any_other_violation(repo):
-    repo.named = ["only_the_table", "{c}.foreign.t"]
-    assert verdict(repo) == ("malformed", 1)
-    assert rows(audit.malformed_names(repo.declared()), "name") == [("only_the_table",)]
-
-
-def test_the_comparison_is_exact(repo):
-    repo.named = ["{c}.sales_history.t"]
-    assert verdict(repo) == ("outside", 1)
-
-
-@pytest.mark.parametrize(
-    ("sql", "verb", "schema"),
-    [
-        ("INSERT INTO hr.payroll SELECT * FROM sales.orders", "INSERT INTO", "hr"),
-        ("DROP TABLE IF EXISTS gold.finance.balances", "DROP TABLE IF EXISTS", "finance"),
-        ("insert\n  overwrite  table finance.t", "INSERT OVERWRITE TABLE", "finance"),
-        ("create or replace external table if not exists `hr`.`t`", "CREATE OR REPLACE EXTERNAL TABLE IF NOT EXISTS", "hr"),
-        ("CREATE VIEW c.hr.v AS SELECT 1", "CREATE VIEW", "hr"),
-        ("MERGE INTO hr.t USING s", "MERGE INTO", "hr"),
-        ("update hr.t set a = 1", "UPDATE", "hr"),
-        ("DELETE FROM hr.t", "DELETE FROM", "hr"),
-        ("TRUNCATE TABLE hr.t", "TRUNCATE TABLE", "hr"),
-        ("ALTER TABLE hr.t ADD COLUMN x int", "ALTER TABLE", "hr"),
-    ],
-)
-def test_a_write_elsewhere_is_caught(repo, sql, verb, schema):
-    repo.sql = [sql]
-    assert repo.violations() == [(verb, schema)]
-    assert verdict(repo) == ("writes outside", 1)
-
-
-def test_a_writer_call_elsewhere_is_caught(repo):
-    repo.calls = [("saveAsTable", "gold.finance.balances"), ("insertInto", "`hr`.t"), ("save", "hr.t")]
-    assert repo.violations() == [("insertInto", "hr"), ("saveAsTable", "finance")]
-
-
-def test_own_unqualified_and_read_tables_are_fine(repo):
-    repo.calls = [("saveAsTable", "orders"), ("saveAsTable", "silver.sales.orders")]
-    repo.sql = ["INSERT INTO orders VALUES (1)", "SELECT * FROM gold.finance.balances", "please update the docs"]
-    assert repo.violations() == []
-    assert verdict(repo) == ("ok", 0)
-
-
-def test_only_loaded_files_count_and_only_once(spark):
-    found = spark.createDataFrame([(1, "f.py", "x"), (1, "draft.py", "x"), (2, "f.py", "x")], "repo bigint, path string, sql string")
-    files = spark.createDataFrame([(1, "head", "f.py"), (1, "head", "f.py"), (1, "base", "draft.py")], "repo bigint, rev string, path string")
-    assert rows(audit.in_loaded_files(found, files)) == [(1, "f.py", "x")]
-
-
-def test_a_name_that_only_the_base_declares_is_not_audited(repo):
-    repo.earlier = ["{c}.kitchen.recipes"]
-    assert verdict(repo) == ("ok", 0)
-
-
-def test_a_write_in_a_file_no_longer_loaded_does_not_block(repo, spark):
-    repo.files = spark.createDataFrame([(1, "base", "f.py")], "repo bigint, rev string, path string")
-    repo.sql = ["INSERT INTO kitchen.recipes"]
-    assert verdict(repo) == ("ok", 0)
-
-
-def test_a_dynamic_destination_only_warns(repo):
-    repo.dynamic_sql = ["INSERT INTO .tabla VALUES (1)"]
-    repo.calls = [("saveAsTable", None)]
-    repo.sql = ["INSERT INTO {x}.t VALUES (1)"]
-    assert verdict(repo) == ("warnings", 0)
-    assert len(rows(audit.statement_unresolved(repo.writes()))) == 3
-    assert repo.violations() == []
+BEDS = ["herbs", "roses", "her", "herbs2"]
+VERBS = [
+    "INSERT INTO", "INSERT OVERWRITE", "INSERT OVERWRITE TABLE", "CREATE TABLE", "CREATE OR REPLACE VIEW", "CREATE EXTERNAL TABLE IF NOT EXISTS",
+    "MERGE INTO", "UPDATE", "DELETE FROM", "DROP TABLE", "DROP TABLE IF EXISTS", "TRUNCATE TABLE", "ALTER TABLE",
+]
+READS = ["SELECT * FROM {0}", "DESCRIBE {0}", "-- nothing about {0}", "CREATE TEMP VIEW v AS SELECT 1", "DROP VIEW {0}"]
+
+
+def generated():
+    rng = random.Random(31)
+    name = lambda: rng.choice(["c.{}.mint", "{{c}}.{}.sage", "c.{}.a.b", "{}", "c..{}.x"]).format(rng.choice(BEDS))
+    well_formed = lambda: f"c.{rng.choice(BEDS)}.mint"
+    out = {}
+    for repo in range(160):
+        made = name if rng.random() < 0.3 else well_formed
+        lists = [rng.choice([None, [], ["herbs"], ["herbs", "her"], BEDS]) for _ in range(2)]
+        texts, calls = [], []
+        for _ in range(rng.randint(0, 2)):
+            target = rng.choice(["t", "herbs.t", "c.roses.t", "`her`.`t`", "{x}.herbs.t", "c.herbs2.t"])
+            verb = "  ".join(rng.choice(VERBS).split()).lower() if rng.random() < 0.5 else rng.choice(VERBS)
+            texts.append((verb, target, rng.random() < 0.1))
+        if rng.random() < 0.3:
+            calls.append(rng.choice([("saveAsTable", "c.roses.t"), ("insertInto", "`herbs`.t"), ("saveAsTable", None), ("save", "roses.t")]))
+        out[repo] = {
+            "literal": lists[0], "provided": lists[1] if rng.random() < 0.4 else None, "head": {made() for _ in range(rng.randint(0, 2))},
+            "base": {"c.weeds.x"}, "retired": {made()} if rng.random() < 0.2 else set(), "texts": texts, "calls": calls,
+            "loaded": rng.random() < 0.8, "reads": [rng.choice(READS).format("c.roses.t")],
+        }
+    return out
+
+
+def schema_of_name(name):
+    parts = name.split(".")
+    return parts[1] if len(parts) == 3 else None
+
+
+def schema_of_target(target):
+    parts = [p for p in target.replace("`", "").split(".") if p]
+    return None if "{" in target or len(parts) < 2 else parts[0] if len(parts) == 2 else parts[1]
+
+
+def plain_writes(g):
+    """(schema or None, known only at run time) of every write."""
+    out = [(None if dynamic else schema_of_target(t), dynamic or "{" in t) for _, t, dynamic in g["texts"]]
+    return out + [(schema_of_target(t) if t else None, t is None) for m, t in g["calls"] if m != "save"]
+
+
+def plain_gate(g):
+    allowed = g["literal"] if g["provided"] is None else g["provided"]
+    names = [(n, "materialize") for n in g["head"]] + [(n, "retire") for n in g["retired"]]
+    inside = set(allowed or [])
+    schemas = [schema_of_name(n) for n, _ in names]
+    written = plain_writes(g) if g["loaded"] else []
+    counts = (
+        len(names), schemas.count(None), sum(s is not None and s not in inside for s in schemas),
+        sum(s is not None and s not in inside for s, _ in written), sum(u for _, u in written),
+    )
+    status = "ok"
+    for text, n in zip(("warnings", "writes outside", "outside", "malformed"), (counts[4], counts[3], counts[2], counts[1])):
+        status = text if n else status
+    status = "skipped" if allowed is None else status
+    return (*counts, status, int(status in ("malformed", "outside", "writes outside")))
+
+
+@pytest.fixture(scope="module")
+def gardens():
+    return generated()
+
+
+@pytest.fixture(scope="module")
+def tables(spark, gardens):
+    """config, declared names, writes, loaded files."""
+    frame = spark.createDataFrame
+    config = frame([(r, g["literal"], g["provided"]) for r, g in gardens.items()], model.SCHEMA_CONFIG_SCHEMA)
+    named = frame([(r, rev, n) for r, g in gardens.items() for rev in ("base", "head") for n in g[rev]], model.NAMED_SCHEMA)
+    retired = frame([(r, n, "old") for r, g in gardens.items() for n in g["retired"]], model.RETIRED_SCHEMA)
+    statements = [(r, "bed.py", 1, f"{v} {t} SELECT 1", d) for r, g in gardens.items() for v, t, d in g["texts"]]
+    statements += [(r, "bed.py", 2, s, False) for r, g in gardens.items() for s in g["reads"]]
+    call = "repo bigint, path string, line bigint, receiver string, method string, arg_source string, name_literal string, is_dynamic boolean"
+    calls = frame([(r, "bed.py", 3, "w", m, "positional", t, t is None) for r, g in gardens.items() for m, t in g["calls"]], call)
+    writes = audit.statement_writes(frame(statements, model.STATEMENTS_SCHEMA)).unionByName(audit.writer_calls(calls))
+    loaded = [(r, "head", "bed.py") for r, g in gardens.items() if g["loaded"]] * 2 + [(r, "base", "bed.py") for r in gardens]
+    files = frame(loaded, "repo bigint, rev string, path string")
+    return config, audit.declared_union(named, retired), writes, files
+
+
+def test_the_gate_is_that_of_the_model(spark, gardens, tables):
+    config, declared, writes, files = tables
+    result = schema_gate(spark.createDataFrame([(r,) for r in gardens], "repo bigint"), config, declared, writes, files)
+    expected = {r: plain_gate(g) for r, g in gardens.items()}
+    assert {tuple(r)[0]: tuple(r)[1:] for r in result.collect()} == expected
+    assert {e[5] for e in expected.values()} == {"skipped", "malformed", "outside", "writes outside", "warnings", "ok"}
+
+
+def test_names_outside_and_malformed_are_those_of_the_model(gardens, tables):
+    config, declared, _, _ = tables
+    outside, malformed = set(), set()
+    for r, g in gardens.items():
+        inside = set((g["literal"] if g["provided"] is None else g["provided"]) or [])
+        for n, origin in [(n, "materialize") for n in g["head"]] + [(n, "retire") for n in g["retired"]]:
+            schema = schema_of_name(n)
+            if schema is None:
+                malformed.add((r, n, origin))
+            elif schema not in inside:
+                outside.add((r, n, origin, schema))
+    assert outside and set(rows(audit.outside_schema(declared, audit.allowed_schemas(config)), "repo", "name", "origin", "schema_name")) == outside
+    assert malformed and set(rows(audit.malformed_names(declared), "repo", "name", "origin")) == malformed
+
+
+def test_violations_and_warnings_are_those_of_the_model(gardens, tables):
+    config, _, writes, _ = tables
+    inside = {r: set((g["literal"] if g["provided"] is None else g["provided"]) or []) for r, g in gardens.items()}
+    expected = sorted((r, s) for r, g in gardens.items() for s, _ in plain_writes(g) if s is not None and s not in inside[r])
+    found = audit.statement_violations(writes, audit.allowed_schemas(config))
+    assert sorted(tuple(x) for x in found.select("repo", "schema_name").collect()) == expected
+    unresolved = sorted(r for r, g in gardens.items() for _, u in plain_writes(g) if u)
+    assert sorted(x["repo"] for x in audit.statement_unresolved(writes).collect()) == unresolved
+
+
+def test_an_empty_list_is_a_declaration_and_no_list_is_none(spark):
+    data = [(1, None, None), (2, [], None), (3, ["a", "a"], None), (4, ["a"], []), (5, None, ["b"]), (6, ["a"], ["b", "c"])]
+    config = spark.createDataFrame(data, model.SCHEMA_CONFIG_SCHEMA)
+    assert rows(audit.allowed_declared(config)) == [(r,) for r in (2, 3, 4, 5, 6)]
+    assert rows(audit.allowed_schemas(config)) == [(3, "a"), (5, "b"), (6, "b"), (6, "c")]
+
+
+def test_lists_must_be_lists_of_strings(spark):
+    for schema in ("repo bigint, literal string, provided array<string>", "repo bigint, literal array<string>, provided array<int>"):
+        with pytest.raises(model.ConfigurationError, match="list of strings"):
+            audit.allowed_schemas(spark.createDataFrame([], schema))
 
 
 def test_all_writes_of_a_long_text_are_found(spark):
@@ -185,14 +160,3 @@ def test_write_pattern_agrees_with_another_engine(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, sql string")
     expected = [(i, " ".join(v.split()).upper(), d.replace("`", "")) for i, t in enumerate(texts) for v, d in pattern.findall(t)]
     assert rows(audit.statement_writes(df), "i", "verb", "dest") == sorted(expected, key=repr)
-
-
-def test_gate_counts_match_the_detail_tables(repo):
-    repo.named = ["{c}.sales.a", "{c}.hr.b", "{c}.hr.c", "bad"]
-    repo.retired = ["{c}.hr.b"]
-    repo.sql = ["INSERT INTO hr.x", "INSERT INTO sales.x", "DROP TABLE {y}.z"]
-    result = repo.gate()
-    assert result["n_declared"] == 5 and result["n_malformed"] == 1
-    assert result["n_outside"] == audit.outside_schema(repo.declared(), repo.allowed()).count() == 3
-    assert result["n_writes_outside"] == len(repo.violations()) == 1
-    assert result["n_unresolved"] == audit.statement_unresolved(repo.writes()).filter(F.lit(True)).count() == 1

@@ -1,3 +1,7 @@
+"""The gate for destructive changes against a model in plain Python, over many generated harbours at once."""
+
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,140 +12,121 @@ from driftgate.plans.destructive import destructive_gate, resource_findings, tab
 
 from .conftest import rows
 
-ORDERS, CLIENTS = "{catalog_silver}.sales.orders", "{catalog_silver}.sales.clients"
-
-
-class Change:
-    """One repository with two tables, a pipeline and a job, in two revisions."""
-
-    def __init__(self, spark):
-        self.spark = spark
-        self.named = [(1, r, n) for r in ("base", "head") for n in (ORDERS, CLIENTS)]
-        self.pipeline = {"catalog": "${var.catalog_silver}", "schema": "sales", "target": None,
-                         "storage": None, "serverless": "true"}
-        self.base = [("pipelines", "silver_sales", self.pipeline), ("jobs", "batch", {})]
-        self.head = list(self.base)
-        self.retired = []
-        self.labels = ""
-        self.revisions = [(1, "base"), (1, "head")]
-        self.inventories = [(1, "base"), (1, "head")]
-
-    def frame(self, data, schema):
-        return self.spark.createDataFrame(data, schema)
-
-    @property
-    def resources(self):
-        data = [
-            (1, rev, kind, key, i, *[fields.get(f) for f in model.RECREATE_FIELDS])
-            for rev, found in (("base", self.base), ("head", self.head))
-            for i, (kind, key, fields) in enumerate(found)
-        ]
-        return self.frame(data, model.RESOURCES_SCHEMA)
-
-    def findings(self):
-        tables = table_findings(
-            self.frame([(1,)], "repo bigint"), self.frame(self.named, model.NAMED_SCHEMA),
-            self.frame(self.inventories, "repo bigint, rev string"),
-            self.frame(self.retired, model.RETIRED_SCHEMA))
-        return resource_findings(self.resources).unionByName(tables)
-
-    def verdict(self, mode="pr"):
-        labels = gate.label_set(self.frame([(1, self.labels)], model.LABELS_SCHEMA))
-        result = destructive_gate(
-            self.frame([(1,)], "repo bigint"), self.frame(self.revisions, "repo bigint, rev string"),
-            self.findings(), labels, mode)
-        return result.first()
-
-
-@pytest.fixture
-def change(spark):
-    return Change(spark)
-
-
-def kinds(change):
-    return rows(change.findings(), "severity", "kind", "item")
-
-
-def test_nothing_removed_passes(change):
-    change.named.append((1, "head", "{c}.s.added"))
-    assert change.verdict()["status"] == "clean" and change.verdict()["exit_code"] == 0
-
-
-def test_a_removed_table_is_an_orphan_and_blocks(change):
-    change.named.remove((1, "head", CLIENTS))
-    assert kinds(change) == [("ORPHAN", "table removed", CLIENTS)]
-    verdict = change.verdict()
-    assert (verdict["status"], verdict["exit_code"]) == ("blocked", 1)
-    assert verdict["needs_inactive"] and not verdict["needs_destroy"]
-
-
-def test_the_label_unblocks(change):
-    change.named.remove((1, "head", CLIENTS))
-    change.labels = f" other ,, {INACTIVE_LABEL} "
-    assert (change.verdict()["status"], change.verdict()["exit_code"]) == ("accepted", 0)
-
-
-def test_the_other_label_does_not_cover(change):
-    change.named.remove((1, "head", CLIENTS))
-    change.labels = DESTROY_LABEL
-    assert change.verdict()["status"] == "blocked"
-
-
-@pytest.mark.parametrize(
-    ("field", "value"),
-    [("catalog", "${var.catalog_gold}"), ("schema", "sales_v2"), ("serverless", "false"),
-     ("target", "t"), ("storage", "/s"), ("catalog", None)],
-)
-def test_a_changed_field_is_destructive(change, field, value):
-    change.head[0] = ("pipelines", "silver_sales", {**change.pipeline, field: value})
-    assert kinds(change) == [("DESTRUCTIVE", "resource recreated", f"silver_sales.{field}")]
-    assert change.verdict()["needs_destroy"]
-
-
-def test_a_value_and_its_text_differ(change):
-    change.head[0] = ("pipelines", "silver_sales", {**change.pipeline, "serverless": '"true"'})
-    assert kinds(change) == [("DESTRUCTIVE", "resource recreated", "silver_sales.serverless")]
-
-
-def test_several_fields_give_several_findings(change):
-    change.head[0] = ("pipelines", "silver_sales", {**change.pipeline, "schema": "x", "target": "y"})
-    assert [k[2] for k in kinds(change)] == ["silver_sales.schema", "silver_sales.target"]
-
-
-def test_a_later_file_decides(change):
-    change.head.append(("pipelines", "silver_sales", {**change.pipeline, "schema": "late"}))
-    assert [k[2] for k in kinds(change)] == ["silver_sales.schema"]
-    change.head.append(("pipelines", "silver_sales", change.pipeline))
-    assert kinds(change) == []
-
-
-def test_a_removed_pipeline_is_destructive(change):
-    change.head = [r for r in change.head if r[0] == "jobs"]
-    found = change.findings().first()
-    assert (found["severity"], found["item"]) == ("DESTRUCTIVE", "silver_sales")
-    assert "new key" in found["remedy"]
-
-
-def test_a_removed_job_is_a_notice_and_passes(change):
-    change.head = [r for r in change.head if r[0] == "pipelines"]
-    assert kinds(change) == [("NOTICE", "resource removed", "batch")]
-    assert (change.verdict()["status"], change.verdict()["exit_code"]) == ("accepted", 0)
-
-
-def test_changed_fields_of_a_job_do_not_count(change):
-    change.head[1] = ("jobs", "batch", {"schema": "other"})
-    assert kinds(change) == []
-
-
-def test_a_retired_table_needs_only_the_strong_label(change):
-    change.retired = [(1, CLIENTS, "no longer used"), (1, ORDERS, "kept for now"), (2, CLIENTS, "elsewhere")]
-    change.named.remove((1, "head", CLIENTS))
-    found = change.findings().collect()
-    assert [(f["severity"], f["item"], f["detail"]) for f in found] == [("DESTRUCTIVE", CLIENTS, "no longer used")]
-    verdict = change.verdict()
-    assert verdict["needs_destroy"] and not verdict["needs_inactive"]
-    change.labels = DESTROY_LABEL
-    assert change.verdict()["status"] == "accepted"
+HARBOURS = 150
+SHIPS = ["port.quay.barge", "port.quay.tug", "port.dock.ferry", "sea.open.yacht"]
+VALUES = [None, "red", "blue", '"red"']
+
+
+def generated():
+    """For each harbour: names and resources by revision, what can be read and is listed, retirements, labels."""
+    rng = random.Random(11)
+    some = lambda items: [x for x in items if rng.random() < 0.6]
+    out = {}
+    for repo in range(HARBOURS):
+        listed = {rev for rev in ("base", "head") if rng.random() < 0.85}
+        resources = {
+            rev: [
+                (rng.choice(["pipelines", "jobs"]), rng.choice("xyz"), {f: rng.choice(VALUES) for f in model.RECREATE_FIELDS if rng.random() < 0.2})
+                for _ in range(rng.randint(0, 4))
+            ]
+            for rev in ("base", "head")
+        }
+        if rng.random() < 0.3:
+            resources["head"] = list(resources["base"])
+        names = {rev: set(some(SHIPS)) if rev in listed else set() for rev in ("base", "head")}
+        if rng.random() < 0.3:
+            names["head"] |= names["base"] if "head" in listed else set()
+        out[repo] = {
+            "names": names, "resources": resources, "listed": listed, "readable": rng.random() < 0.9,
+            "retired": {n: f"sold {n[-3:]}" for n in SHIPS if rng.random() < 0.3},
+            "labels": {x for x in (DESTROY_LABEL, INACTIVE_LABEL, "other") if rng.random() < 0.5},
+        }
+    return out
+
+
+def plain_findings(h):
+    found = []
+    if "head" in h["listed"]:
+        for name in h["names"]["base"] - h["names"]["head"]:
+            retired = name in h["retired"]
+            found.append(("DESTRUCTIVE" if retired else "ORPHAN", name))
+    else:
+        found.append(("NOTICE", "no inventory at head"))
+    last = {rev: {(kind, key): fields for kind, key, fields in listed} for rev, listed in h["resources"].items()}
+    for (kind, key), fields in last["base"].items():
+        after = last["head"].get((kind, key))
+        if after is None:
+            found.append(("DESTRUCTIVE" if kind == "pipelines" else "NOTICE", key))
+        elif kind == "pipelines":
+            found += [("DESTRUCTIVE", f"{key}.{f}") for f in model.RECREATE_FIELDS if fields.get(f) != after.get(f)]
+    return sorted(found)
+
+
+def plain_verdict(h, mode):
+    kinds = {severity for severity, _ in plain_findings(h)}
+    if not h["readable"]:
+        return "error", None, None, None, None, 2
+    destructive, orphaned = "DESTRUCTIVE" in kinds, "ORPHAN" in kinds
+    lacks = destructive and DESTROY_LABEL not in h["labels"], orphaned and INACTIVE_LABEL not in h["labels"]
+    status = "clean" if not kinds else "blocked" if any(lacks) and mode == "pr" else "accepted"
+    return status, destructive, orphaned, *lacks, int(status == "blocked")
+
+
+@pytest.fixture(scope="module")
+def harbours():
+    return generated()
+
+
+@pytest.fixture(scope="module")
+def found(spark, harbours):
+    frame = spark.createDataFrame
+    named = [(r, rev, n) for r, h in harbours.items() for rev, names in h["names"].items() for n in names]
+    resources = [
+        (r, rev, kind, key, i, *[fields.get(f) for f in model.RECREATE_FIELDS])
+        for r, h in harbours.items() for rev, listed in h["resources"].items() for i, (kind, key, fields) in enumerate(listed)
+    ]
+    tables = table_findings(
+        frame([(r,) for r in harbours], "repo bigint"),
+        frame(named, model.NAMED_SCHEMA),
+        frame([(r, rev) for r, h in harbours.items() for rev in h["listed"]], "repo bigint, rev string"),
+        frame([(r, n, why) for r, h in harbours.items() for n, why in h["retired"].items()], model.RETIRED_SCHEMA),
+    )
+    return resource_findings(frame(resources, model.RESOURCES_SCHEMA)).unionByName(tables)
+
+
+def test_findings_are_those_of_the_model(harbours, found):
+    expected = sorted((r, *f) for r, h in harbours.items() for f in plain_findings(h))
+    assert len({f[1] for f in expected}) == 3
+    assert sorted(tuple(r) for r in found.select("repo", "severity", "item").collect()) == expected
+
+
+def test_every_finding_says_what_to_do_unless_it_only_informs(found):
+    for row in found.collect():
+        assert row["detail"] and (row["remedy"] or row["severity"] == "NOTICE")
+
+
+def test_reasons_of_retirements_are_the_detail(harbours, found):
+    for row in found.filter("kind = 'table retired'").collect():
+        assert row["detail"] == harbours[row["repo"]]["retired"][row["item"]]
+
+
+@pytest.mark.parametrize("mode", ["pr", "report"])
+def test_verdicts_are_those_of_the_model(spark, harbours, found, mode):
+    frame = spark.createDataFrame
+    labels = frame([(r, " , ".join([*sorted(h["labels"]), ""])) for r, h in harbours.items()], model.LABELS_SCHEMA)
+    seen = frame([(r, rev) for r, h in harbours.items() for rev in ("base", "head") if rev == "head" or h["readable"]], "repo bigint, rev string")
+    verdicts = destructive_gate(frame([(r,) for r in harbours], "repo bigint"), seen, found, gate.label_set(labels), mode)
+    columns = ("repo", "status", "destructive", "orphaned", "needs_destroy", "needs_inactive", "exit_code")
+    result = {r[0]: tuple(r)[1:] for r in verdicts.select(*columns).collect()}
+    expected = {r: plain_verdict(h, mode) for r, h in harbours.items()}
+    assert result == expected
+    assert {v[0] for v in expected.values()} == ({"error", "clean", "accepted", "blocked"} if mode == "pr" else {"error", "clean", "accepted"})
+
+
+def test_unknown_mode_fails(spark):
+    none = spark.createDataFrame([], "repo bigint, severity string, label string")
+    with pytest.raises(ValueError, match="mode"):
+        gate.gate_decision(none, none, "other")
 
 
 def test_a_repeated_retirement_does_not_repeat_the_finding(spark):
@@ -150,48 +135,12 @@ def test_a_repeated_retirement_does_not_repeat_the_finding(spark):
     assert rows(diff.removed_classified(removed, retired)) == [(1, "a", "DESTRUCTIVE", "r2")]
 
 
-def test_report_mode_never_blocks_and_shows_the_flags(change):
-    change.head = [r for r in change.head if r[0] == "jobs"]
-    verdict = change.verdict("report")
-    assert (verdict["exit_code"], verdict["destructive"], verdict["orphaned"]) == (0, True, False)
-
-
 def test_flags_are_texts(spark):
     decided = spark.createDataFrame([(1, True, False)], "repo bigint, destructive boolean, orphaned boolean")
     known = spark.createDataFrame([(1,), (2,)], "repo bigint")
     assert rows(gate.flags(known, decided)) == [(1, "true", "false"), (2, "false", "false")]
 
 
-def test_an_unreadable_base_is_an_error(change):
-    change.revisions = [(1, "head")]
-    for mode in ("pr", "report"):
-        verdict = change.verdict(mode)
-        assert (verdict["status"], verdict["exit_code"], verdict["destructive"]) == ("error", 2, None)
-
-
-def test_a_missing_inventory_at_head_is_a_notice(change):
-    change.inventories.remove((1, "head"))
-    change.named = [n for n in change.named if n[1] == "base"]
-    assert kinds(change) == [("NOTICE", "inventory missing", "no inventory at head")]
-    assert change.verdict()["exit_code"] == 0
-
-
-def test_an_empty_inventory_at_head_removes_everything(change):
-    change.named = [n for n in change.named if n[1] == "base"]
-    assert [k[0] for k in kinds(change)] == ["ORPHAN", "ORPHAN"]
-
-
-def test_a_missing_inventory_at_base_removes_nothing(change):
-    change.inventories.remove((1, "base"))
-    change.named = [n for n in change.named if n[1] == "head"]
-    assert kinds(change) == []
-
-
-def test_unknown_mode_fails(change):
-    with pytest.raises(ValueError, match="mode"):
-        change.verdict("other")
-
-
 def test_guard_knows_repositories_that_left_no_row(spark):
     repos = spark.createDataFrame([(1,), (2,), (3,)], "repo bigint")
     seen = spark.createDataFrame([(1, "base"), (1, "head"), (2, "head")], "repo bigint, rev string")

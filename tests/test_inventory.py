@@ -1,3 +1,7 @@
+"""Inventories against a model in plain Python, and their storage."""
+
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,74 +12,98 @@ from driftgate.sources import inventory as sources
 
 from .conftest import rows
 
-SILVER = (1, "head", "silver_sales", "${var.catalog_silver}", "sales", "sales.py")
-
-
-def files(spark, *extra):
-    return spark.createDataFrame([SILVER, *extra], model.PIPELINE_FILES_SCHEMA)
-
-
-def calls(spark, *extra):
-    base = [
-        (1, "head", "sales.py", 3, "dlt", "table", "keyword", "orders", False),
-        (1, "head", "sales.py", 7, "dlt", "table", "keyword", "clients", False),
-        (1, "head", "sales.py", 4, "spark.read", "table", "positional", "source", False),
+DECLARING = {
+    ("table", "keyword"), ("view", "keyword"), ("materialized_view", "keyword"), ("create_streaming_table", "positional"),
+    ("create_streaming_table", "keyword"), ("create_target_table", "positional"), ("create_target_table", "keyword"),
+}
+SCOPES = {None: "{0}", "${var.hill}": "{hill}", "${moor}": "{moor}", " marsh ": "marsh", "${a}_b": "${a}_b", "${bundle.target}": "{bundle.target}"}
+
+
+@pytest.fixture(scope="module")
+def meadow():
+    """Pipelines that load files, and calls in these and in other files, of several repositories and revisions."""
+    rng = random.Random(21)
+    scope = list(SCOPES)
+    pipelines = [
+        (rng.randint(1, 5), rng.choice(["base", "head"]), f"p{i}", rng.choice(scope), rng.choice(scope), f"f{rng.randint(1, 6)}.py")
+        for i in range(200)
     ]
-    return spark.createDataFrame([*base, *extra], model.CALLS_SCHEMA)
-
-
-def names(spark, pipeline_files, found):
-    return [r[0] for r in rows(inventory.declared_inventory(pipeline_files, found), "name")]
-
-
-def test_names_carry_the_variable_and_reads_do_not_count(spark):
-    assert names(spark, files(spark), calls(spark)) == [
-        "{catalog_silver}.sales.clients", "{catalog_silver}.sales.orders"]
-
-
-def test_two_pipelines_on_one_file_publish_both(spark):
-    other = (1, "head", "silver_buying", "${var.catalog_silver}", "buying", "sales.py")
-    assert names(spark, files(spark, other), calls(spark)) == [
-        f"{{catalog_silver}}.{s}.{t}" for s in ("buying", "sales") for t in ("clients", "orders")]
-
-
-def test_two_layers_do_not_collide(spark):
-    bronze = (1, "head", "bronze_sales", "${var.catalog_bronze}", "sales", "sales.py")
-    found = names(spark, files(spark, bronze), calls(spark))
-    assert "{catalog_bronze}.sales.orders" in found and "{catalog_silver}.sales.orders" in found
-
-
-def test_missing_scope_takes_the_defaults(spark):
-    plain = spark.createDataFrame([(1, "head", "p", None, None, "sales.py")], model.PIPELINE_FILES_SCHEMA)
-    assert names(spark, plain, calls(spark)) == ["{catalog}.default.clients", "{catalog}.default.orders"]
-
-
-def test_a_file_no_pipeline_loads_does_not_count(spark):
-    draft = (1, "head", "draft.py", 1, "dlt", "table", "keyword", "never", False)
-    elsewhere = (2, "head", "sales.py", 1, "dlt", "table", "keyword", "never", False)
-    assert not [n for n in names(spark, files(spark), calls(spark, draft, elsewhere)) if "never" in n]
-
-
-def test_which_calls_declare(spark):
-    def call(receiver, method, source, name):
-        return (1, "head", "f.py", 1, receiver, method, source, name, False)
-
-    found = spark.createDataFrame([
-        call("dlt", "view", "keyword", "a"), call("dlt", "materialized_view", "keyword", "b"),
-        call("dlt", "table", "positional", "no1"), call("dlt", "table", None, None),
-        call("dlt", "create_streaming_table", "positional", "c"),
-        call("dlt", "create_target_table", "keyword", "d"),
-        call("other", "table", "keyword", "no2"), call("dlt", "read", "positional", "no3"),
-    ], model.CALLS_SCHEMA)
-    assert [r[0] for r in rows(inventory.declaration_calls(found), "name_literal")] == ["a", "b", "c", "d"]
-
-
-def test_dynamic_names_are_reported_and_not_listed(spark):
-    looped = (1, "head", "sales.py", 9, "dlt", "table", "keyword", None, True)
-    found = calls(spark, looped)
-    assert rows(inventory.dynamic_names(found)) == [(1, "sales.py", 1, 2)]
-    assert len(names(spark, files(spark), found)) == 2
-    assert rows(inventory.dynamic_names(calls(spark))) == []
+    methods = ["table", "view", "materialized_view", "create_streaming_table", "create_target_table", "read", "saveAsTable"]
+    calls = []
+    for i in range(1200):
+        name = rng.choice(["clover", "thyme", "sorrel", "", None])
+        calls.append((
+            rng.randint(1, 6), rng.choice(["base", "head"]), f"f{rng.randint(1, 8)}.py", i, rng.choice(["dlt", "dlt", "spark.read"]),
+            rng.choice(methods), rng.choice(["keyword", "positional", None]), name, name is None,
+        ))
+    return pipelines, calls
+
+
+def declares(call):
+    return call[4] == "dlt" and (call[5], call[6]) in DECLARING
+
+
+def plain_inventory(pipelines, calls):
+    out = set()
+    for repo, rev, _, catalog, schema, path in pipelines:
+        for call in calls:
+            if call[:3] == (repo, rev, path) and declares(call) and call[7]:
+                out.add((repo, rev, f"{SCOPES[catalog].format('{catalog}') if catalog is None else SCOPES[catalog]}."
+                                    f"{'default' if schema is None else SCOPES[schema]}.{call[7]}"))
+    return out
+
+
+def test_inventories_are_those_of_the_model(spark, meadow):
+    pipelines, calls = meadow
+    files, found = spark.createDataFrame(pipelines, model.PIPELINE_FILES_SCHEMA), spark.createDataFrame(calls, model.CALLS_SCHEMA)
+    expected = plain_inventory(pipelines, calls)
+    names = rows(inventory.declared_inventory(files, found), "repo", "rev", "name")
+    assert set(names) == expected and len(names) == len(expected) > 50
+    once = {(p[0], p[5]) for p in pipelines}
+    assert set(rows(inventory.distinct_files(files))) == once
+
+
+def test_declaring_calls_are_those_of_the_model(spark, meadow):
+    _, calls = meadow
+    found = spark.createDataFrame(calls, model.CALLS_SCHEMA)
+    assert rows(inventory.declaration_calls(found), "line") == sorted([(c[3],) for c in calls if declares(c)], key=repr)
+    dynamic = {}
+    for c in calls:
+        if declares(c):
+            dynamic.setdefault((c[0], c[2]), [0, 0])[0 if c[8] else 1] += 1
+    assert set(rows(inventory.dynamic_names(found))) == {(*k, a, b) for k, (a, b) in dynamic.items() if a}
+
+
+def test_inventory_text_has_a_name_on_each_line_that_is_neither_blank_nor_a_comment(spark):
+    lines = ["# of the meadow", "", " \t", "m.a.clover", "  m.a.thyme \r", "\t# m.a.weed", "m.a.clover", "#m.a.moss"]
+    df = spark.createDataFrame([("\n".join(lines),), (None,), ("",)], "value string")
+    expected = {s for s in map(str.strip, lines) if s and s[0] != "#"}
+    assert set(rows(sources.inventory_names(df))) == {(n,) for n in expected}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_last_definitions_drift_and_lock_gate_agree_with_dictionaries(spark, seed):
+    rng = random.Random(seed)
+    made = [(rng.randint(1, 3), rng.choice(["base", "head"]), "pipelines", rng.choice("abc"), i, *[rng.choice([None, "u", "v"]) for _ in range(5)])
+            for i in range(60)]
+    last = {m[:4]: m[5:] for m in made}
+    mixed = rng.sample(made, len(made))
+    found = inventory.last_definition(spark.createDataFrame(mixed, model.RESOURCES_SCHEMA), ("repo", "rev", "kind", "key"), model.RECREATE_FIELDS)
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in found.collect()} == last
+
+    named = [(rng.randint(1, 9), rng.choice(["base", "head"]), rng.choice("klmn")) for _ in range(50)]
+    named += [(10, rev, n) for rev in ("base", "head") for n in "kl"]
+    held = {(r, v): {n for a, b, n in named if (a, b) == (r, v)} for r in range(1, 13) for v in ("base", "head")}
+    names = spark.createDataFrame(named, model.NAMED_SCHEMA)
+    drift = {(r, n, "extra" if n in held[r, "base"] else "missing") for r in range(1, 13) for n in held[r, "base"] ^ held[r, "head"]}
+    assert set(rows(diff.inventory_drift(names))) == drift
+    stored = {r for r in range(1, 13) if rng.random() < 0.7} | {10}
+    listed = spark.createDataFrame([(r, "base") for r in stored] + [(r, "head") for r in range(1, 13)], "repo bigint, rev string")
+    result = {r["repo"]: tuple(r)[1:] for r in lock_gate(spark.createDataFrame([(r,) for r in range(1, 13)], "repo bigint"), listed, names).collect()}
+    for r in range(1, 13):
+        base, head = held[r, "base"], held[r, "head"]
+        status = "absent" if r not in stored else "up to date" if base == head else "outdated"
+        assert result[r] == (len(head), len(head - base), len(base - head), status, int(status != "up to date"))
 
 
 def test_a_provider_replaces_the_scan_even_when_it_gives_nothing(spark):
@@ -92,12 +120,6 @@ def test_a_broken_provider_fails(spark, tmp_path):
         inventory.with_provider(spark.range(1), spark.range(1), spark.range(1))
 
 
-def test_inventory_text_skips_comments_and_blanks(spark):
-    text = "# header\n\n  {c}.s.b  \r\n\t#x\n{c}.s.a\n{c}.s.a\n"
-    df = spark.createDataFrame([(text,)], "value string")
-    assert rows(sources.inventory_names(df)) == [("{c}.s.a",), ("{c}.s.b",)]
-
-
 def test_inventories_survive_a_round_trip(spark, tmp_path):
     named = spark.createDataFrame(
         [(1, "base", "{c}.s.a"), (1, "base", "{c}.s.a"), (1, "head", "{c}.s.b"), (2, "head", "{c}.s.c")],
@@ -127,33 +149,3 @@ def test_explode_files_skips_entries_without_a_path(spark):
     assert rows(sources.explode_files(df)) == [(1, "a.py"), (1, "b.py")]
     nested = df.select("repo", F.transform("files", lambda f: F.struct(f.alias("path"))).alias("files"))
     assert rows(sources.explode_files(nested, F.col("file.path"))) == [(1, "a.py"), (1, "b.py")]
-
-
-def test_a_shared_file_is_read_once(spark):
-    other = (1, "head", "silver_buying", "${var.catalog_silver}", "buying", "sales.py")
-    assert rows(inventory.distinct_files(files(spark, other))) == [(1, "sales.py")]
-
-
-def test_the_last_file_wins_whole(spark):
-    df = spark.createDataFrame(
-        [(1, "base", "pipelines", "p", 1, "c1", "s1", "t1", None, "true"),
-         (1, "base", "pipelines", "p", 2, "c2", None, None, None, "false")], model.RESOURCES_SCHEMA)
-    last = inventory.last_definition(df, ("repo", "rev", "kind", "key"), model.RECREATE_FIELDS)
-    assert rows(last, *model.RECREATE_FIELDS) == [("c2", None, None, None, "false")]
-
-
-def test_drift_names_the_missing_and_the_extra(spark):
-    named = spark.createDataFrame(
-        [(1, "base", "kept"), (1, "head", "kept"), (1, "base", "gone"), (1, "head", "new")], model.NAMED_SCHEMA)
-    assert rows(diff.inventory_drift(named)) == [(1, "gone", "extra"), (1, "new", "missing")]
-
-
-def test_lock_gate(spark):
-    repos = spark.createDataFrame([(1,), (2,), (3,), (4,)], "repo bigint")
-    stored = spark.createDataFrame([(1, "base"), (2, "base"), (4, "base"), (3, "head")], "repo bigint, rev string")
-    named = spark.createDataFrame(
-        [(1, "base", "a"), (1, "head", "a"), (2, "base", "a"), (2, "head", "b"), (3, "head", "a")],
-        model.NAMED_SCHEMA)
-    assert rows(lock_gate(repos, stored, named)) == [
-        (1, 1, 0, 0, "up to date", 0), (2, 1, 1, 1, "outdated", 1),
-        (3, 1, 1, 0, "absent", 1), (4, 0, 0, 0, "up to date", 0)]
