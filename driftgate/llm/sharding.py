@@ -1,6 +1,6 @@
 """Resharding that moves the fewest bytes: a minimum-cost flow from old shard sizes to new capacities.
 
-Documents lie in old shards. Each old shard is a row of blocks, large documents first, so that what is cut last is small.
+Documents lie in old shards. Each old shard is a row of blocks, one for each eighth of a doubling of the size.
 A minimum-cost flow between old shards and new capacities (a byte that stays costs nothing, a byte that moves costs one)
 says how many bytes go from each old shard to each new one. Every old shard is then read as a line of bytes: what stays
 comes first, then one stretch per transfer. Whole blocks fall into stretches; only the block at the end of a stretch is
@@ -9,8 +9,13 @@ parted, between two documents. So new sizes differ from their capacities by a fe
 The flow is solved on sums per shard and the line on sums per block; the number of both is set by shards and tasks, not by
 documents. A block that many equal documents share is salted.
 
-Null texts have no bytes. Documents without an id are placed like any other. Repeated rows each take a slot. Extra columns
-pass through `rewrite`. An empty table gives an empty result.
+There may be more or fewer new shards than old ones. Equal texts are placed each for itself: a group of copies may hold a
+third of all bytes, and could not lie in one shard of a 24th.
+
+Null texts have no bytes. Documents without an id are placed like any other. Repeated rows each take a slot. Texts of any
+length are sized whole. Ties in size go by id, then checksum. Extra columns are ignored by `reshard`, whatever their names,
+and pass through `rewrite`, which needs unique ids that aren't null and fails where they are not. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -101,14 +106,17 @@ def blocks(docs: DataFrame, old_shard: Column) -> DataFrame:
     return sized.withColumn("block", -F.floor(F.log2(F.col("size").cast("double")) * 8).cast("int"))
 
 
-def stretches(sums: list[tuple[int, int]], capacity: list[int] | None, shards: int) -> list[tuple[int, int, int]]:
-    """Where the stretches of each old shard begin: old shard, first byte, new shard."""
-    supply = [0] * shards
+def stretches(sums: list[tuple[int, int]], capacity: list[int]) -> list[tuple[int, int, int]]:
+    """Where the stretches of each old shard begin: old shard, first byte, new shard.
+
+    `sums` has (old shard, bytes) in any number. Capacities are scaled to what there is, so that they are shares.
+    """
+    supply = [0] * (max((shard for shard, _ in sums), default=-1) + 1)
     for shard, size in sums:
         supply[shard] += size
-    flow = min_cost_flow(supply, capacity or equal_capacities(sum(supply), shards))
+    flow = min_cost_flow(supply, scaled(capacity, sum(supply)))
     out = []
-    for i in range(shards):
+    for i in range(len(supply)):
         at = 0
         for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
             out.append((i, at, j))
@@ -116,8 +124,23 @@ def stretches(sums: list[tuple[int, int]], capacity: list[int] | None, shards: i
     return out
 
 
+def scaled(capacity: list[int], total: int) -> list[int]:
+    """Whole numbers in the proportions of `capacity` that add up to `total`."""
+    whole = sum(capacity)
+    if whole == total or not whole:
+        return capacity if whole == total else equal_capacities(total, len(capacity))
+    ends, held = [], 0
+    for c in capacity:
+        held += c
+        ends.append(held * total // whole)
+    return [b - a for a, b in zip([0, *ends], ends)]
+
+
 def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, capacity: list[int] | None = None) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, old_shard, shard, slot."""
+    """One row per document: doc_id, size, text_crc32, law, old_shard, shard, slot.
+
+    `capacity` gives the new shards their shares of all bytes, by default `shards` equal ones.
+    """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = durable(blocks(docs, old_shard))
@@ -142,7 +165,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, capacity:
         .join(starts, ["old_shard", "block", "salt"])
         .withColumn("middle", F.col("first") + F.col("before") + F.floor(F.col("size") / 2))
     )
-    cuts = stretches([(s, b) for s, _, _, b in counted], capacity, shards)
+    cuts = stretches([(s, b) for s, _, _, b in counted], capacity or [1] * shards)
     shard = F.lit(0)
     # At most two stretches to a shard, so a short expression.
     for old, first, new in cuts:
@@ -169,11 +192,20 @@ def affected(placed: DataFrame) -> DataFrame:
 def rewrite(docs: DataFrame, placed: DataFrame, folder: str) -> None:
     """Write the affected shards below `folder`, a directory per shard, and leave all other directories as they are.
 
-    Needs unique ids that aren't null, because documents are matched to their places by id.
+    A shard that gives everything away loses its directory. Documents are matched to their places by id, so ids must be
+    unique and not null; otherwise nothing is written.
     """
-    wanted = placed.join(affected(placed), "shard").select("doc_id", "shard", "slot")
-    (
-        docs.join(wanted, "doc_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
-    )
-
+    spark = docs.sparkSession
+    named = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not named.filter("doc_id is null or n > 1").isEmpty():
+        raise ValueError("documents can only be rewritten by unique ids")
+    changed = affected(placed)
+    wanted = placed.join(changed, "shard").select("doc_id", F.col("shard").alias("_shard"), "slot")
+    rows = docs.drop("shard", "slot").join(wanted, "doc_id").withColumnRenamed("_shard", "shard")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    # At most as many rows as there are shards.
+    emptied = changed.join(placed.select("shard").distinct(), "shard", "left_anti").collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in emptied:
+        system.delete(path(f"{folder}/shard={row['shard']}"), True)
