@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgate.session import durable, shared_folder
+
+__all__ = ["durable", "map_batches", "prepare", "remove", "shared_folder", "table", "text_or_empty", "written"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows and bytes that a Python worker gets at once, so that its memory doesn't grow with the table.
@@ -31,25 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, one in the warehouse, which executors share too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """A copy of `df` in shared storage: losing an executor neither loses nor changes it. For narrow tables."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as a table in shared storage and reread."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as a table in the shared folder and reread, and where it lies."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that `written` made and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
