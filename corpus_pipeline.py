@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""A corpus from raw documents to packed sequences: each stage works on all that the one before it kept.
+
+Rows are decided one by one, so null ids and ids that repeat with different texts lose no document; null texts count as
+empty; whole texts are read, however long; ties are decided as the operators say; equal rows share one decision. All stages
+but the last keep every column of their input, whatever its name. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftgate.llm import exact, packing, simhash, toxicity
-from driftgate.llm.common import prepare, table, written
+from driftgate.llm.common import prepare, remove, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,10 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`; each result is written and reread as the next stage's input."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to `documents`; each result is written and reread as the next stage's input.
+
+    A copy is deleted when the stage after it is written. The last stage checkpoints what it reads of its input before it
+    returns, so its input's copy goes too.
+    """
+    docs, copy = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        docs, used = stage(spark, docs, sf_dir), copy
         if number < len(STAGES):
-            docs = written(docs)
+            docs, copy = written(docs)
+        if used:
+            remove(spark, used)
     return docs
