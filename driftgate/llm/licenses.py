@@ -1,12 +1,14 @@
 """License scans: notice phrases and identifier tags by an Aho-Corasick automaton, expressions by a shunting yard.
 
 One pass of the automaton over the normalised words of a text finds all places of all phrases and of the identifier tag.
-Behind a tag, the licence expression on the same line is parsed with the usual order of precedence (with, and, or) and its
-licences become labels. A score says how sure the strongest evidence is: a tag with a well-formed expression, a full
-notice phrase, a tag with a broken expression, or nothing.
-
-Null texts count as empty: no words, no labels, score 0. Repeated rows get equal results. Extra columns are ignored. An
-empty table gives an empty result.
+Behind each tag's place, the licence expression on the same line is parsed with the usual order of precedence (with, and,
+or) and evaluated: what `and` holds together and what `or` leaves open stay apart, exceptions stay with their licence, and
+equal expressions get one spelling. Every licence named becomes a label. A score says how sure the strongest evidence is: a
+tag with a well-formed expression, a full notice phrase, a tag with a broken expression, or nothing.
+
+Null texts count as empty: no words, no labels, score 0. Texts of any length are read whole, in time that grows with their
+length and number of hits. Phrases that overlap all count. Repeated rows get equal results. Extra columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 
 from driftgate.llm.common import map_batches
@@ -38,7 +41,8 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit",
 }
 TAG = "spdx license identifier"
-TAG_IN_TEXT = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\n]*)", re.IGNORECASE)
+#: What follows a tag: the expression up to the end of its line.
+BEHIND_TAG = re.compile(rb"[ \t]*:[ \t]*([^\n]*)")
 PART = re.compile(r"[A-Za-z0-9.+:-]+|[()]")
 #: Operators of licence expressions, the tightest first.
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
@@ -64,7 +68,10 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def parse_expression(text: str) -> list[str] | None:
-    """A licence expression in postfix order, None where it isn't well-formed. Trailing comment marks don't count."""
+    """A licence expression in postfix order, None where it isn't well-formed.
+
+    Trailing comment marks don't count, and neither does a remark in brackets behind a whole expression.
+    """
     parts = PART.findall(re.sub(r"(\*/|-->|#}).*", "", text))
     out: list[str] = []
     pending: list[str] = []
@@ -80,7 +87,9 @@ def parse_expression(text: str) -> list[str] | None:
             operand_next = True
         elif word == "(":
             if not operand_next:
-                return None
+                if "(" in pending:
+                    return None
+                break
             pending.append(word)
         elif word == ")":
             if operand_next:
@@ -100,48 +109,71 @@ def parse_expression(text: str) -> list[str] | None:
     return out + pending[::-1]
 
 
-def licences_of(postfix: list[str]) -> set[str] | None:
-    """The licences an expression names; an exception belongs to its licence. None where it can't be evaluated."""
-    stack: list[set[str]] = []
+def evaluate(postfix: list[str]) -> tuple[str, set[str]] | None:
+    """An expression in one spelling, and the licences it names. None where an exception has no licence of its own.
+
+    Operands of `and` and of `or` are sorted, and a repeated one is one; an `or` inside an `and` is in brackets.
+    """
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []  # operator, operands as written, licences
     for part in postfix:
-        if part in PRECEDENCE:
-            right, left = stack.pop(), stack.pop()
-            if part == "with" and (len(left) != 1 or len(right) != 1):
+        if part not in PRECEDENCE:
+            stack.append(("", frozenset((part,)), frozenset((part,))))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if part == "with":
+            if left[0] or right[0]:
                 return None
-            stack.append(left if part == "with" else left | right)
-        else:
-            stack.append({part})
-    return stack.pop()
+            stack.append(("with", frozenset((f"{written(left)} with {written(right)}",)), left[2]))
+            continue
+        operands = frozenset().union(*(x[1] if x[0] == part else (written(x, part),) for x in (left, right)))
+        stack.append((part if len(operands) > 1 else "", operands, left[2] | right[2]))
+    return written(stack[-1]), set(stack[-1][2])
+
+
+def written(value: tuple[str, frozenset[str], frozenset[str]], inside: str = "") -> str:
+    operator, operands, _ = value
+    text = f" {operator} ".join(sorted(operands))
+    return f"({text})" if operator == "or" and inside == "and" else text
 
 
 def scan_text(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base labels, all labels, score, postfix expressions of one text."""
-    text = text or ""
-    words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
-    line = b"".join((b" ", b" ".join(words), b" ")).decode("latin-1")
-    n_base, starts, base, labels, score, tagged = 0, [], set(), set(), 0.0, False
-    for end, phrase in automaton().iter(line):
+    """n_words, n_base, first_word, last_word, base labels, all labels, score, evaluated expressions of one text."""
+    octets = (text or "").encode("utf-8", "surrogatepass")
+    folded = octets.translate(FOLD)
+    words = folded.split()
+    line = b"".join((b" ", b" ".join(words), b" "))
+    ends, tags, base, labels, score = [], [], set(), set(), 0.0
+    for end, phrase in automaton().iter(line.decode("latin-1")):
         if phrase == TAG:
-            tagged = True
+            tags.append(end)
             continue
         score = PHRASE_SCORE
         if phrase in BASE:
-            n_base += 1
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            ends.append(end - len(phrase) - 1)
             base.add(BASE[phrase])
         else:
             labels.add(NOTICES[phrase])
+    starts: list[int] = []
+    if ends or tags:
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        starts = np.searchsorted(blanks, ends).tolist()
     expressions = []
-    if tagged:
-        for match in TAG_IN_TEXT.finditer(text):
-            postfix = parse_expression(match[1])
-            named = licences_of(postfix) if postfix else None
-            if named:
-                labels |= named
-                expressions.append(" ".join(postfix))
-            score = max(score, TAG_SCORE if named else BROKEN_TAG_SCORE)
+    if tags:
+        # Folding keeps the length, so the words' places in the folded bytes are those in the text.
+        filled = np.frombuffer(folded, np.uint8) != 32
+        closing = np.flatnonzero(filled & ~np.r_[filled[1:], False]) + 1
+        for number in (np.searchsorted(blanks, tags) - 1).tolist():
+            found = BEHIND_TAG.match(octets, int(closing[number]))
+            if not found:
+                continue
+            postfix = parse_expression(found[1].decode("utf-8", "replace"))
+            value = evaluate(postfix) if postfix else None
+            if value:
+                labels |= value[1]
+                expressions.append(value[0])
+            score = max(score, TAG_SCORE if value else BROKEN_TAG_SCORE)
     return (
-        len(words), n_base, min(starts, default=None), max(starts, default=None),
+        len(words), len(starts), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(base)), ",".join(sorted(base | labels)), score, expressions,
     )
 
