@@ -211,6 +211,11 @@ VIEWS = {
     "held_name": r"""
         SELECT repo, name FROM named JOIN supplier ON s_suppkey = repo
         WHERE (s_nationkey % 5 IN (3, 4) AND rev = 'base') OR (s_nationkey % 5 = 1 AND rev = 'head')""",
+    "file_owner": rf"""
+        SELECT p.repo, s.o AS owner_org, CASE WHEN s.o IS NOT NULL THEN 'thther' END AS tooling
+        FROM (SELECT DISTINCT page_id // 6 AS repo FROM pages) p LEFT JOIN (
+          SELECT page_id // 6 AS repo, coalesce(nullif(regexp_extract(url, '{HOST}', 2), ''), 'nobody') AS o
+          FROM pages WHERE page_id % 6 = 0) s USING (repo)""",
     "resource_found": r"""
         SELECT repo, CASE kind WHEN 'pipelines' THEN 'DESTRUCTIVE' ELSE 'NOTICE' END AS severity,
                'resource removed' AS kind, CAST(key AS VARCHAR) AS item,
@@ -531,6 +536,25 @@ ORACLE = {
                 FROM owners o LEFT JOIN (SELECT page_id % 10 AS repo, * FROM ref WHERE org <> '') r
                   ON r.repo = o.repo AND (r.role = 'repo' OR r.target_repo = coalesce(o.tooling_repo, 'shared-ci'))
                 GROUP BY o.repo, o.owner_org))""",
+    "owner_plan": r"""
+        SELECT repo, n_owner, n_tooling, n_drifting, status, CAST(CASE status WHEN 'ok' THEN 0 ELSE 1 END AS BIGINT) AS exit_code
+        FROM (SELECT *, CASE WHEN owner_org IS NULL THEN 'undeclared' WHEN n_drifting > 0 THEN 'drift' ELSE 'ok' END AS status
+          FROM (SELECT d.repo, d.owner_org, count(*) FILTER (WHERE role = 'repo') AS n_owner,
+                       count(*) FILTER (WHERE role = 'tooling') AS n_tooling,
+                       count(*) FILTER (WHERE role IS NOT NULL AND org IS DISTINCT FROM
+                         CASE WHEN role = 'tooling' THEN d.tooling ELSE d.owner_org END) AS n_drifting
+                FROM file_owner d LEFT JOIN (SELECT *, page_id // 6 AS r FROM found WHERE page_id % 6 IN (0, 1, 3)
+                       AND (role = 'repo' OR target_repo IS NULL OR target_repo = 'shared-ci')) f ON f.r = d.repo
+                GROUP BY d.repo, d.owner_org))""",
+    "owner_move": r"""
+        SELECT page_id, repo, path, new AS text, new <> text AS moved FROM (
+          SELECT page_id, repo, path, text, CASE WHEN page_id % 6 IN (0, 1, 3) AND owner_org IS NOT NULL THEN
+              regexp_replace(regexp_replace(text, '@' || owner_org || '(/[\w.-])', '@neworg\1', 'g'),
+                '(?m)^(\s*github_org\s*=\s*")' || owner_org || '"', '\1neworg"', 'g') ELSE text END AS new
+          FROM (SELECT page_id, page_id // 6 AS repo, text,
+                       CASE page_id % 6 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'docs/CODEOWNERS' WHEN 2 THEN 'docs/history.md'
+                            WHEN 3 THEN '.github/workflows/' || page_id || '.yaml' WHEN 4 THEN '.github/workflows/old/' || page_id || '.yml'
+                            ELSE 'src/' || page_id || '.py' END AS path FROM cfg_text) JOIN file_owner USING (repo))""",
     "move_status": r"""
         SELECT repo, CASE WHEN owner_org IS NULL THEN 'error' ELSE 'ok' END AS status FROM owners""",
 }

@@ -21,7 +21,7 @@ from driftgate.model import BASE, HEAD, NOTICE, PIPELINES, RECREATE_FIELDS
 from driftgate.operators import audit, diff, gate, inventory, refs, revisions
 from driftgate.plans.destructive import destructive_gate, pair_gate, resource_findings, table_findings
 from driftgate.plans.lock import lock_gate, stored_lock_gate
-from driftgate.plans.owners import move_status, owner_gate
+from driftgate.plans.owners import move_status, owner_gate, owner_move, owner_plan
 from driftgate.plans.schemas import schema_gate
 from driftgate.session import shared_folder
 from driftgate.sources import store
@@ -447,6 +447,16 @@ def whole_owner_gate(v: Views) -> DataFrame:
     return owner_gate(v.mixed_config, url_refs(v), TOOLING_REPO)
 
 
+def whole_owner_plan(v: Views) -> DataFrame:
+    """Verdicts from files alone."""
+    return owner_plan(v.repo_texts, TOOLING_REPO)
+
+
+def whole_owner_move(v: Views) -> DataFrame:
+    """Every file after its repository's owner has moved."""
+    return owner_move(v.repo_texts, TOOLING_REPO, owner="neworg")
+
+
 def whole_move_status(v: Views) -> DataFrame:
     return move_status(v.mixed_config)
 
@@ -527,6 +537,8 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "keyword_writers": keyword_writers,
     "schema_gate": whole_schema_gate,
     "owner_gate": whole_owner_gate,
+    "owner_plan": whole_owner_plan,
+    "owner_move": whole_owner_move,
     "move_status": whole_move_status,
 }
 

@@ -380,3 +380,8 @@ class Views:
             .otherwise(F.concat(F.lit("src/"), number, F.lit(".py")))
         )
         return self.config_texts.withColumn("path", path)
+
+    @cached_property
+    def repo_texts(self) -> DataFrame:
+        """The same files, six to a repository: one of each path."""
+        return self.filed_texts.withColumn("repo", F.floor(F.col("page_id") / 6))

@@ -82,8 +82,12 @@ def reference_extract(
 
 def governed_files(texts: DataFrame) -> DataFrame:
     """The files whose references are governed. What other documents say is history and stays."""
-    path = F.col("path")
-    return require(texts, "path").filter(path.isin(*GOVERNED_FILES) | path.rlike(GOVERNED_WORKFLOWS))
+    return require(texts, "path").filter(is_governed(F.col("path")))
+
+
+def is_governed(path: Column) -> Column:
+    """Whether a file has references that are governed."""
+    return path.isin(*GOVERNED_FILES) | path.rlike(GOVERNED_WORKFLOWS)
 
 
 def read_org_config(settings: DataFrame) -> DataFrame:
