@@ -432,7 +432,7 @@ def prefix_trie(conversations: DataFrame, segment: int = SEGMENT, shard_turns: i
                 "parent_conv_id", F.when(F.col("depth") == 1, F.col("_top")).otherwise(F.col("parent_conv_id"))
             )
         part = nodes.select(
-            "conv_id", (F.col("depth") + layer * segment).alias("depth"), "parent_conv_id", *TOTALS[:1], *TOTALS[1:], "ends_sha256"
+            "conv_id", (F.col("depth") + layer * segment).alias("depth"), "parent_conv_id", *TOTALS, "ends_sha256"
         )
         out = part if out is None else out.unionAll(part)
     return out
