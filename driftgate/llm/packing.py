@@ -7,8 +7,9 @@ better. The same filling is repeated as often as the histogram allows, so the pl
 their place by their rank within their length: ranks are counted in salted groups, so a length that a third of all
 documents share is spread over many tasks.
 
-A document longer than a sequence is cut into full sequences and a rest; nothing else is cut. Null and empty texts are a
-single end token. Rows that repeat an id are packed as often as they occur. Extra columns are ignored. An empty table
+A document longer than a sequence is cut into full sequences and a rest; nothing else is cut, and texts of any length are
+read whole. Null and empty texts are a single end token. Rows that repeat an id are packed as often as they occur. Pieces of
+equal length take their places by id, piece and checksum. Extra columns are ignored, whatever their names. An empty table
 gives an empty result.
 """
 
@@ -126,10 +127,11 @@ def ranked(cut: DataFrame, histogram: dict[int, int]) -> DataFrame:
     group = max(1, sum(histogram.values()) // (4 * tasks))
     # A row per length that needs more than one group: at most 4 * tasks of them.
     wide = {k: -(-n // group) for k, n in histogram.items() if n > group}
-    salts = F.lit(1)
+    salts, spread = F.lit(1), cut
     if wide:
-        salts = F.coalesce(F.create_map(*(F.lit(x) for pair in wide.items() for x in pair))[F.col("length").cast("int")], F.lit(1))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
+        table = cut.sparkSession.createDataFrame(sorted(wide.items()), "length bigint, _salts int")
+        salts, spread = F.coalesce("_salts", F.lit(1)), cut.join(F.broadcast(table), "length", "left")
+    salted = spread.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts)).drop("_salts")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = salted.groupBy("length", "_salt").count().select(
         "length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift")
