@@ -1,17 +1,24 @@
 """Main text of web pages, with wrappers inferred per host.
 
-A wrapper is a union-free regular expression over the tokens of a host's pages: tags, text slots, repeated groups and
-optional groups. It starts as the folded tokens of one page and is aligned with one page after another: where texts
-differ, a constant becomes a slot; where tags differ, the stretch becomes optional, or repeated if it equals its neighbour.
-Wrappers align with each other the same way, so every task infers its own and they are merged in salted rounds: a
-host of any size is a few wrappers, never a group of pages.
-
-Main text is what stands in an article (in the body where a page has none), without elements that are furniture by their
-tag, role, class or id. Outside articles, texts that the wrapper holds constant over at least `SUPPORT` pages are
-furniture too. A block's white space becomes single blanks, blocks are joined by line feeds.
-
-Null html counts as empty and gives an empty text; a null url is a host of its own. Repeated pages get equal results.
-Extra columns are ignored. An empty table gives an empty result.
+A wrapper is a union-free regular expression over the blocks of a host's pages. Each element has its children in order;
+a child that some pages lack is optional, one that stands several times in a row is repeated, and children whose order
+differs between pages or within one become a repeated group of optional ones. So a child stands in one place of its
+parent, and a wrapper is as large as the template, not as the number of pages. What differs between pages in an element's
+own text makes that text a slot; what all pages share stays a constant. Pages are aligned with the wrapper one after
+another, wrappers of different tasks are aligned with each other in the same way, and what a wrapper counts (pages,
+characters, links) adds up, so the result doesn't depend on the order of pages.
+
+The wrapper decides what is main text. Slots that hold running text, outside links, give each element a weight. From the
+top, the way leads down into the child with `SHARE` of the weight of all children as long as it is one element that holds
+others; where it ends is the main part of the host's pages. Inside it, elements that are mostly links and constant lines are furniture, as
+is everything outside. Lists of tags and names only help: an article around the main part is taken whole, and what calls
+itself navigation, notice or comments is furniture inside the main part too. A page without the main part of its host is
+decided by a wrapper of its own.
+
+A block's white space becomes single blanks, blocks are joined by line feeds. Null html counts as empty and gives an empty
+text; pages without a url are a host of their own. Texts of any length are read whole. Repeated pages get equal results.
+Of children with equal weight the way takes the first by name. Extra columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +27,6 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,11 +38,16 @@ from driftgate.llm.common import map_batches
 
 #: Pages of a host that must share a text before it counts as the host's own.
 SUPPORT = 3
+#: Part of the running text that the way down follows.
+SHARE = 0.6
+#: Characters that an element's text has on average if it is running text.
+RUNNING = 40
+#: Part of the characters, and how many, that make an element a list of links.
+LINKED = 0.6
+LINKS = 3
 #: Hosts whose wrappers a task holds at once.
 HOSTS = 500
 SALTS = 16
-#: Tokens in the largest group that is looked for as a repetition.
-GROUP = 12
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
 
 TOKEN = re.compile(
@@ -54,6 +65,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that hold blocks without being one.
+CONTAINERS = frozenset("label option button menu title html body".split())
 FURNITURE_TAGS = frozenset("head title nav header footer aside form button menu dialog label option".split())
 FURNITURE_NAMES = frozenset(
     "nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement sponsor sponsored promo "
@@ -61,6 +74,7 @@ FURNITURE_NAMES = frozenset(
     "respond share sharing social related breadcrumb breadcrumbs pagination pager widget toolbar login signup search".split()
 )
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose names describe the page rather than a part of it.
 WHOLE = frozenset(("html", "body", "article", "main"))
 
@@ -86,110 +100,227 @@ def clean(text: str) -> str:
 
 def digest(text: str) -> str:
     """Stands for a text in a wrapper, so that wrappers stay small whatever the pages hold."""
-    return xxhash.xxh3_128_hexdigest(text)
+    return xxhash.xxh3_64_hexdigest(text)
 
 
-# A wrapper's items: "<tag", ">tag" for a closing tag, ["#", digest or null], ["+", items], ["?", items].
+def block_name(tag: str, attributes: str) -> str:
+    """An element's name in a wrapper: its tag and the words of its class, without numbers. Those of a page as a whole don't count."""
+    names = sorted({n for n in names_of(attributes) if not n.isdigit()}) if attributes and tag not in WHOLE else ()
+    return ".".join((tag, *names)) if names else tag
 
 
-def page_items(page: str) -> list:
-    out = []
-    for kind, name, _ in tokens(page):
+def furniture_by_name(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element calls itself furniture. A header inside the main part is the article's own."""
+    if tag in FURNITURE_TAGS and not (tag == "header" and inside):
+        return True
+    return tag not in WHOLE and bool(attributes) and not FURNITURE_NAMES.isdisjoint(names_of(attributes))
+
+
+def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
+    """What a page holds, in order: ("open", path, attributes) for a block, ("text", path, text), ("link", path, text).
+
+    A path is the names of the blocks around, from the top. Elements inside a line belong to their block. A new block ends
+    an open paragraph, and a closing tag ends everything that was opened after its element. An element inside a line that
+    calls itself furniture is left out up to its end, or to the end of a block around it.
+    """
+    stack: list[tuple[str, tuple[str, ...]]] = []
+    linked, muted, nested = 0, None, 0
+    for kind, name, attributes in tokens(page):
+        path = stack[-1][1] if stack else ()
+        if muted:
+            if name == muted and kind != "text":
+                nested += 1 if kind == "open" else -1
+                muted = muted if nested else None
+                continue
+            if kind != "close" or name not in BLOCKS:
+                continue
+            muted = None
         if kind == "text":
-            if text := clean(name):
-                out.append(["#", digest(text)])
+            yield ("link" if linked else "text"), path, name
+        elif name == "a":
+            linked = int(kind == "open")
+        elif name == "br":
+            yield "text", path, " "
+        elif name not in BLOCKS and name not in CONTAINERS:
+            if kind == "open" and attributes and name not in VOID and not FURNITURE_NAMES.isdisjoint(names_of(attributes)):
+                muted, nested = name, 1
+        elif kind == "close":
+            depth = len(stack) - 1
+            while depth >= 0 and stack[depth][0] != name:
+                depth -= 1
+            if depth >= 0:
+                del stack[depth:]
+            yield "close", stack[-1][1] if stack else (), ""
+        elif name in VOID or attributes.rstrip().endswith("/"):
+            yield "close", path, ""
         else:
-            out.append(("<" if kind == "open" else ">") + name)
-    return fold(out)
-
-
-def key(item) -> str:
-    """What two items must share to be aligned: their shape without texts."""
-    if isinstance(item, str):
-        return item
-    if item[0] == "#":
-        return "#"
-    if item[0] == "?":
-        return "?" + key_of(item[1])
-    return "+" + key_of(item[1])
-
-
-def key_of(items: list) -> str:
-    return "(" + " ".join(map(key, items)) + ")"
-
-
-def blank(items: list) -> list:
-    """The items with every text a slot, as inside a repetition."""
-    return [i if isinstance(i, str) else ["#", None] if i[0] == "#" else [i[0], blank(i[1])] for i in items]
-
-
-def fold(items: list) -> list:
-    """Neighbouring equal groups become one repeated group; a group next to its own repetition joins it."""
-    for size in range(1, GROUP + 1):
-        out: list = []
-        keys: list[str] = []
-        for item in items:
-            out.append(item)
-            keys.append(key(item))
-            while True:
-                group = "+(" + " ".join(keys[-size:]) + ")"
-                if len(keys) > size and keys[-size - 1] == group:
-                    del out[-size:], keys[-size:]
-                elif len(keys) >= 2 * size and keys[-size:] == keys[-2 * size : -size] and "#" in group:
-                    folded = blank(out[-size:])
-                    del out[-2 * size :], keys[-2 * size :]
-                    out.append(["+", folded])
-                    keys.append(group)
-                else:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == "p":
+                    del stack[depth:]
                     break
-        items = out
-    return items
+                if stack[depth][0] in BLOCKS:
+                    break
+            linked = 0
+            path = (*(stack[-1][1] if stack else ()), block_name(name, attributes))
+            stack.append((name, path))
+            yield "open", path, attributes
 
 
-def bare(item):
-    return item[1] if not isinstance(item, str) and item[0] == "?" else [item]
+# Wrappers ----------------------------------------------------------------------------------------------------------
+# An element: n (pages that have it), o (how often they do), t (characters outside links), l (characters in links),
+# a (links), b (texts), d (digest of its own text on every page, null once it differs), order (its children: names, and
+# lists of names for repeated groups), kids (children by name).
 
 
-def align(a: list, b: list) -> list:
-    """The least wrapper that both generalise to: equal items stay, differing texts become slots, the rest optional."""
-    keys_a, keys_b = [key_of(bare(i)) for i in a], [key_of(bare(i)) for i in b]
-    if keys_a == keys_b:
-        return [joined(x, y) for x, y in zip(a, b)]
-    out: list = []
-    for how, i, j, k, l in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
-        if how == "equal":
-            out += [joined(x, y) for x, y in zip(a[i:j], b[k:l])]
-        else:
-            for part in (a[i:j], b[k:l]):
-                flat = [x for item in part for x in bare(item)]
-                if flat:
-                    out.append(["?", blank(flat)])
-    return fold(out)
+def element() -> dict:
+    return {"n": 1, "o": 0, "t": 0, "l": 0, "a": 0, "b": 0, "d": "", "order": [], "kids": {}}
 
 
-def joined(x, y):
-    if isinstance(x, str) and isinstance(y, str):
-        return x
-    if "?" in (x[0], y[0]):
-        return ["?", [joined(p, q) for p, q in zip(bare(x), bare(y))]]
-    if x[0] == "#":
-        return x if x[1] == y[1] else ["#", None]
-    return [x[0], [joined(p, q) for p, q in zip(x[1], y[1])]]
+def placed(order: list[list[str]], groups: list[list[str]]) -> list[list[str]]:
+    """Align the children `groups` with `order`: what is met again earlier makes one repeated group of all in between."""
+    at = -1
+    for group in groups:
+        known = [i for i, held in enumerate(order) if not set(held).isdisjoint(group)]
+        if not known:
+            at += 1
+            order.insert(at, list(group))
+            continue
+        first, last = min(known), max(known)
+        if first < at:
+            last = max(last, at)
+        if first == last and len(group) == 1:
+            at = first
+            continue
+        whole = [name for held in order[first : last + 1] for name in held]
+        whole += [name for name in group if name not in whole]
+        order[first : last + 1] = [whole]
+        at = first
+    return order
+
+
+def page_wrapper(page: str) -> dict:
+    """The wrapper of a single page."""
+    top = element()
+    known = {(): top}
+    runs: dict[tuple[str, ...], list[list[str]]] = {}
+    texts: dict[tuple[str, ...], list[str]] = {}
+    for kind, path, value in blocks(page):
+        if kind == "open":
+            above = known[path[:-1]]
+            if path not in known:
+                known[path] = above["kids"][path[-1]] = element()
+            known[path]["o"] += 1
+            sequence = runs.setdefault(path[:-1], [])
+            if not sequence or sequence[-1] != path[-1]:
+                sequence.append(path[-1])
+            known[path]["b"] += 1
+        elif kind in ("text", "link"):
+            held = len(value.strip())
+            if held:
+                node = known[path]
+                node["l" if kind == "link" else "t"] += held
+                node["a"] += kind == "link"
+                texts.setdefault(path, []).append(value)
+    for path, sequence in runs.items():
+        known[path]["order"] = placed([], [[name] for name in sequence])
+    for path, parts in texts.items():
+        node = known[path]
+        node["d"] = digest(clean("".join(parts))) if node["o"] <= 1 else None
+    return top
 
 
 def merge(a: dict, b: dict) -> dict:
-    return {"pages": a["pages"] + b["pages"], "items": align(a["items"], b["items"])}
-
-
-def constants(items: list) -> set[str]:
-    """Digests of texts that the wrapper has on every page; what is optional or repeated isn't."""
-    return {i[1] for i in items if not isinstance(i, str) and i[0] == "#" and i[1] is not None}
+    """The least wrapper that both generalise to. Changes and returns `a`."""
+    for name in ("n", "o", "t", "l", "a", "b"):
+        a[name] += b[name]
+    if a["d"] != b["d"]:
+        a["d"] = None
+    if a["order"] != b["order"]:
+        a["order"] = placed(a["order"], b["order"])
+    for name, kid in b["kids"].items():
+        a["kids"][name] = merge(a["kids"][name], kid) if name in a["kids"] else kid
+    return a
+
+
+def expression(node: dict, name: str = "") -> str:
+    """The wrapper as a regular expression, to be read."""
+    parts = []
+    for group in node["order"]:
+        inner = " ".join(expression(node["kids"][k], k) + "?" * (len(group) > 1 or node["kids"][k]["n"] < node["n"]) for k in group)
+        many = len(group) > 1 or node["kids"][group[0]]["o"] > node["kids"][group[0]]["n"]
+        parts.append(f"({inner})+" if many else inner)
+    if node["t"] or node["l"]:
+        parts.insert(0, "#" if node["d"] is None else "constant")
+    return f"<{name}>{' '.join(parts)}</{name}>"
+
+
+def is_constant(node: dict) -> bool:
+    return bool(node["d"]) and node["n"] >= SUPPORT
+
+
+def weight(node: dict) -> int:
+    """Characters of running text in an element and below."""
+    own = node["t"] if node["t"] >= RUNNING * max(1, node["b"]) and not is_constant(node) else 0
+    return own + sum(weight(k) for k in node["kids"].values())
+
+
+def is_linked(node: dict) -> bool:
+    """Whether an element and what is below is mostly links, and several of them on a page."""
+
+    def total(x: dict, name: str) -> int:
+        return x[name] + sum(total(k, name) for k in x["kids"].values())
+
+    links, text = total(node, "l"), total(node, "t")
+    return links >= LINKED * (links + text) and total(node, "a") >= LINKS * node["o"] > 0
+
+
+def calls_itself_furniture(name: str) -> bool:
+    tag, *words = name.split(".")
+    return tag in FURNITURE_TAGS or (tag not in WHOLE and not FURNITURE_NAMES.isdisjoint(words))
+
+
+def decide(top: dict) -> tuple[tuple[str, ...], frozenset[tuple[str, ...]]]:
+    """Paths of the main part, and of furniture inside it."""
+    path: tuple[str, ...] = ()
+    at, around = top, None
+    while at["kids"]:
+        below = {k: weight(v) for k, v in at["kids"].items() if not calls_itself_furniture(k)}
+        best = min(below, key=lambda k: (-below[k], k), default=None)
+        if best is None or not below[best]:
+            break
+        if below[best] < SHARE * sum(below.values()):  # a tie: an article goes before the rest
+            articles = [k for k in below if k.split(".")[0] in ARTICLE]
+            if len(articles) != 1:
+                break
+            best = articles[0]
+        kid = at["kids"][best]
+        if not kid["kids"] or kid["o"] > kid["n"]:
+            break
+        path, at = (*path, best), kid
+        if around is None and best.split(".")[0] in ARTICLE:
+            around = path
+    path = around or path
+    at = top
+    for name in path:
+        at = at["kids"][name]
+    varies = weight(at) > 0
+    out = set()
+    todo = [(path, at)]
+    while todo:
+        here, node = todo.pop()
+        for name, kid in node["kids"].items():
+            tag = name.split(".")[0]
+            constant = varies and is_constant(kid) and not kid["kids"] and tag not in HEADINGS
+            if tag not in WHOLE and (constant or is_linked(kid)):
+                out.add((*here, name))
+            else:
+                todo.append(((*here, name), kid))
+    return path, frozenset(out)
 
 
 @lru_cache(maxsize=4096)
-def host_texts(wrapper: str | None) -> frozenset[str]:
-    found = json.loads(wrapper) if wrapper else {"pages": 0, "items": []}
-    return frozenset(constants(found["items"]) if found["pages"] >= SUPPORT else ())
+def host_decision(wrapper: str | None) -> tuple[tuple[str, ...], frozenset[tuple[str, ...]]] | None:
+    return decide(json.loads(wrapper)) if wrapper else None
 
 
 def infer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +332,7 @@ def infer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = {"pages": 1, "items": page_items(page or "")}
+            own = page_wrapper(page or "")
             held[host] = merge(held[host], own) if host in held else own
             if len(held) >= HOSTS:
                 yield flush()
@@ -237,62 +368,47 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return map_batches(whole, merge_batch, "host string, wrapper string")
 
 
-def main_text(page: str | None, furniture: frozenset[str] = frozenset()) -> str:
-    """The main text of one page. furniture: digests of texts of the host's wrapper, left out unless they stand in an article."""
+def main_text(page: str | None, decision: tuple | None = None) -> str:
+    """The main text of one page, by what its host's wrapper decided, or by its own where that part is missing."""
     if not page:
         return ""
-    inside: list[str] = []
-    outside: list[str] = []
-    run: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, within furniture, within an article
-    skip = article = seen = False
+    found = part_of(page, decision) if decision else None
+    return part_of(page, decide(page_wrapper(page))) or "" if found is None else found
 
-    def close_block() -> None:
+
+def part_of(page: str, decision: tuple) -> str | None:
+    """The text of the main part of a page, or None if the page has no such part."""
+    main, furniture = decision
+    depth = len(main)
+    out: list[str] = []
+    run: list[str] = []
+    seen = not depth
+    left_out: tuple[str, ...] | None = None
+    for kind, path, value in blocks(page):
+        if kind in ("text", "link"):
+            if left_out is None and path[:depth] == main:
+                run.append(value)
+            continue
         if run:
             if text := clean("".join(run)):
-                (inside if article else outside).append(text)
+                out.append(text)
             run.clear()
-
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
-
-    for kind, name, attributes in tokens(page):
-        if kind == "text":
-            if not skip:
-                run.append(name)
+        if left_out is not None and path[: len(left_out)] == left_out and not (kind == "open" and path == left_out):
             continue
-        if name == "br":
-            run.append(" ")
+        if left_out is not None and kind == "close" and len(path) >= len(left_out):
             continue
-        if name in BLOCKS:
-            close_block()
-        if kind == "close":
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != name:
-                depth -= 1
-            if depth >= 0:
-                del stack[depth:]
-        elif name not in VOID and not attributes.rstrip().endswith("/"):
-            if name in BLOCKS:  # a new block ends an open paragraph
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        del stack[depth:]
-                        break
-                    if stack[depth][0] in BLOCKS:
-                        break
-            within, held = state()
-            seen |= name in ARTICLE and not within
-            own = name in FURNITURE_TAGS and not (name == "header" and held)
-            if not own and name not in WHOLE and attributes:
-                own = not FURNITURE_NAMES.isdisjoint(names_of(attributes))
-            stack.append((name, within or own, held or (name in ARTICLE and not within)))
-        skip, article = state()
-    close_block()
-    return "\n".join(inside if seen else [t for t in outside if not furniture or digest(t) not in furniture])
+        left_out = None
+        if kind == "open":
+            seen |= path == main
+            if path in furniture or furniture_by_name(path[-1].split(".")[0], value, path[:depth] == main):
+                left_out = path
+    if run and (text := clean("".join(run))):
+        out.append(text)
+    return "\n".join(out) if seen else None
 
 
 def extract_batch(batch: dict[str, list]) -> dict[str, list]:
-    texts = [main_text(p, host_texts(w)) for p, w in zip(batch["html"], batch["wrapper"])]
+    texts = [main_text(p, host_decision(w)) for p, w in zip(batch["html"], batch["wrapper"])]
     return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
 
