@@ -106,6 +106,23 @@ def test_the_gate_is_that_of_the_model(spark, gardens, tables):
     assert {e[5] for e in expected.values()} == {"skipped", "malformed", "outside", "writes outside", "warnings", "ok"}
 
 
+def test_repeats_and_nulls_count_as_rows_do(spark):
+    """Equal writes count each, files that are loaded often once, and neither a null file nor a null repository is loaded."""
+    frame = spark.createDataFrame
+    config = frame([(1, ["herbs"], None), (2, ["herbs"], None)], model.SCHEMA_CONFIG_SCHEMA)
+    declared = frame([(1, "c.herbs.a", "materialize"), (1, "c.herbs.a", "retire"), (2, None, "retire"), (None, "c.x.y", "retire")],
+                     "repo bigint, name string, origin string")
+    outside, unknown = ("bed.py", "INSERT INTO", "c.roses.t", False), ("bed.py", "INSERT INTO", "{x}.t", False)
+    writes = [(1, *outside)] * 3 + [(1, *unknown)] * 2 + [(1, "bed.py", "INSERT INTO", None, True), (1, "bed.py", "INSERT INTO", "c.roses.t", None)]
+    writes += [(1, None, *outside[1:]), (None, *outside), (2, "gone.py", *outside[1:])]
+    writes = frame(writes, "repo bigint, path string, verb string, dest string, dynamic boolean")
+    files = frame([(1, "head", "bed.py")] * 4 + [(1, "head", None), (None, "head", "bed.py"), (2, "base", "gone.py")],
+                  "repo bigint, rev string, path string")
+    result = schema_gate(frame([(1,), (2,), (3,)], "repo bigint"), config, declared, writes, files)
+    assert rows(result) == [
+        (1, 2, 0, 0, 3, 3, "writes outside", 1), (2, 1, 1, 0, 0, 0, "malformed", 1), (3, 0, 0, 0, 0, 0, "skipped", 0)]
+
+
 def test_names_outside_and_malformed_are_those_of_the_model(gardens, tables):
     config, declared, _, _ = tables
     outside, malformed = set(), set()
